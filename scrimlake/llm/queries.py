@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrimlake.llm import line_dedup, oracles, quality_rules, simhash_dedup
+from scrimlake.llm import line_dedup, oracles, quality_rules, simhash_dedup, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("cleaned_text")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those removed as repeats of 50-word windows, and the digest of the rest."""
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+    return found.withColumnRenamed("id", "doc_id").drop("kept_text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, the numbers of those that an earlier like line makes superfluous, and what is left."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -31,9 +37,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
+    "op2_substring_dedup": oracles.REPEATS,
 }
