@@ -58,7 +58,7 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
 
 def _slot(s: np.ndarray, n: int) -> np.ndarray:
     """The bit of a shingle in items of n words; n = 0: in items of any size."""
-    return mixed(s + np.uint64(n) * _P, 0xC4CEB9FE1A85EC53) >> np.uint64(64 - _BITS)
+    return mixed(s + np.uint64(n * int(_P) % (1 << 64)), 0xC4CEB9FE1A85EC53) >> np.uint64(64 - _BITS)
 
 
 def _items(shingle: int) -> Callable:
