@@ -119,3 +119,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
         F.size("_q_lines").cast("long").alias("n_lines"), (F.size("_q_lines") - F.size("_q_left")).cast("long").alias("n_lines_removed"),
         F.col("_q_lost").alias("lost_chars"), F.array_join("_q_left", "\n").alias("cleaned_text"),
     )
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of docs that the rules keep, without their failing lines; other columns are carried."""
+    judged = judge(docs.withColumn("_row", F.struct("*")), "_row", text_col, rules)
+    # the row number keeps Spark from moving the filter below, and so repeating, the computation that it tests
+    judged = judged.select("id", "kept", "cleaned_text", F.monotonically_increasing_id().alias("_n")).where(F.col("kept") & (F.col("_n") >= 0))
+    return judged.select(*[F.col("cleaned_text").alias(c) if c == text_col else F.col(f"id.`{c}`").alias(c) for c in docs.columns])
