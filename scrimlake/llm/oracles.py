@@ -50,3 +50,8 @@ RECORDS = """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS pa
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 100 AND least < page_id THEN least END AS refers_to FROM f"""
+
+#: The given pages all hold their text in one article element with b as its only tag within words.
+ARTICLES = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""

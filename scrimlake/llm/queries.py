@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrimlake.llm import decontamination, line_dedup, oracles, packing, quality_rules, simhash_dedup, substring_dedup, warc_zip
+from scrimlake.llm import decontamination, html_extraction, line_dedup, oracles, packing, quality_rules, simhash_dedup, substring_dedup, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("kept_text")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's winning path."""
+    return html_extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, written into ZIP packages of WARC records and read back from them."""
     return warc_zip.round_trip(_table(spark, sf_dir, "pages"))
@@ -57,6 +62,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_warc_zip": op6_warc_zip,
     "op7_decontamination": op7_decontamination,
     "op8_line_dedup": op8_line_dedup,
@@ -67,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.QUALITY,
     "op2_substring_dedup": oracles.REPEATS,
+    "op5_html_extraction": oracles.ARTICLES,
     "op6_warc_zip": oracles.RECORDS,
 }
