@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrimlake.llm import decontamination, html_extraction, line_dedup, oracles, packing, quality_rules, simhash_dedup, substring_dedup, warc_zip
+from scrimlake.llm import decontamination, html_extraction, license_scan, line_dedup, oracles, packing, quality_rules, simhash_dedup, substring_dedup, token_counts, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("kept_text")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license of every document, its own or that of the nearest folder above."""
+    files = license_scan.document_files(_table(spark, sf_dir, "documents"))
+    return license_scan.scan(files).withColumn("doc_id", F.regexp_extract("path", r"-(-?\d+)$", 1).cast("long"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words and unigram tokens of every document."""
+    found = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, by its host's winning path."""
     return html_extraction.main_text(_table(spark, sf_dir, "pages"))
@@ -62,6 +74,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
     "op6_warc_zip": op6_warc_zip,
     "op7_decontamination": op7_decontamination,
