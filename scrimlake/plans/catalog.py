@@ -1,5 +1,7 @@
 """The registered queries and their SQL, by name."""
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,8 @@ from scrimlake.functions import text as T
 from scrimlake.functions.values import EMAIL, SECRETS
 from scrimlake.operators import anonymize as A
 from scrimlake.operators import audit, govern, secrets, spans, usage
+from scrimlake.sources import audit_log, lists
+from scrimlake.streaming import rehydrate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -474,3 +478,51 @@ def text_utils(spark, sf_dir):
 @query("SELECT c_custkey, left(c_name, 4) || '...' || left(sha256(c_name), 16) AS masked, (('0x' || md5('42:' || c_name))::UHUGEINT % 100)::BIGINT AS m FROM customer")
 def keys_and_md5(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", audit.mask_key(F.col("c_name")).alias("masked"), T.md5_mod(F.concat(F.lit("42:"), F.col("c_name")), 100).alias("m"))
+
+
+# ---- streams and storage
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scrimlake-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_CHAT_TEXT = "text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 || '.' ELSE '' END"
+
+
+@query(f"SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS restored FROM (SELECT conv_id, turn, {_CHAT_TEXT} AS t FROM conversations) GROUP BY conv_id")
+def stream_rehydrate(spark, sf_dir):
+    """Anonymised conversations sent in pieces of seven characters through the stateful operator."""
+    rows, mapping = _sessions(spark, sf_dir)
+    folder = _folder(spark)
+    whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "anon_text"))), lambda x: x["anon_text"]), "\n").alias("t"))
+    whole.write.parquet(f"{folder}/whole")
+    whole = spark.read.schema(whole.schema).parquet(f"{folder}/whole")
+    names = mapping.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("originals"))
+    pieces = rehydrate.chunked(whole, "conv_id", "t", 7).join(names.withColumnRenamed("conv_id", "stream_id"), "stream_id", "left")
+    pieces.write.parquet(f"{folder}/chunks")
+    chunks = spark.readStream.schema(pieces.schema).parquet(f"{folder}/chunks")
+    rehydrate.restored_stream(chunks, wait="NoTimeout").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("stream_id long, seq long, out string").parquet(f"{folder}/out")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "out"))), lambda x: x["out"]), "")
+    return out.groupBy(F.col("stream_id").alias("conv_id")).agg(joined.alias("restored"))
+
+
+@query(f"SELECT event_id::VARCHAR AS event_id, event_type, tenant_id, risk_level FROM {_EVENTS} WHERE timestamp >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY")
+def audit_log_roundtrip(spark, sf_dir):
+    """Events appended to a table by day and read back from a time on."""
+    events = _events(spark, sf_dir)
+    path = f"{_folder(spark)}/audit"
+    audit_log.append(events.withColumn("event_id", F.col("event_id").cast("string")).withColumn("timestamp", F.col("timestamp").cast("timestamp")), path)
+    first = events.agg(F.min("timestamp") + F.expr("INTERVAL 1 DAY")).first()[0]
+    return audit_log.read(spark, path, start=first).select("event_id", "event_type", "tenant_id", "risk_level")
+
+
+@query("SELECT conv_id, turn, text AS content FROM conversations")
+def sse_roundtrip(spark, sf_dir):
+    """Turns written as server-sent event lines and parsed again."""
+    turns = _table(spark, sf_dir, "conversations")
+    line = F.rtrim(lists.sse_line(F.col("text"), F.lit("c"), F.lit(0), F.lit("m")), F.lit("\n"))
+    return turns.select("conv_id", "turn", lists.sse_content(line)["content"].alias("content"))
