@@ -1,0 +1,399 @@
+"""Each operator against brute force on small tables, and on nulls, empty and repeated rows, clashing columns and no rows."""
+
+import gzip
+import hashlib
+import random
+import zipfile
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+
+import corpus_pipeline
+from scrimlake.llm import decontamination, html_extraction, license_scan, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, token_counts, warc_zip
+from scrimlake.llm.common import Scratch
+from scrimlake.llm.components import connected_components
+
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SPACES = " \t\n\x0b\f\r"
+
+
+def words_of(text):
+    out, word = [], ""
+    for c in text or "":
+        if c in SPACES:
+            out, word = out + [word] * bool(word), ""
+        else:
+            word += c
+    return out + [word] * bool(word)
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstué") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    sentence = lambda k: " ".join(r.choice(vocabulary) for _ in range(k)).capitalize() + "."
+    shared = [sentence(70), sentence(55), sentence(20)]
+    docs = []
+    for k in range(n):
+        text = "\n".join(sentence(r.randint(3, 40)) for _ in range(r.randint(1, 5)))
+        if k % 5 == 0:
+            text += "\n" + r.choice(shared)
+        if k % 7 == 3 and docs:
+            text = docs[r.randrange(len(docs))][1]
+        if k % 7 == 5 and docs:
+            ws = docs[r.randrange(len(docs))][1].split(" ")
+            ws[r.randrange(len(ws))] = "changed"
+            text = " ".join(ws)
+        docs.append((k, text))
+    return docs
+
+
+EDGES = [(1, None), (2, ""), (3, " \n\t\n"), (None, "A text without an id, but with words. And more of them."), (5, "Twice the same row stands here."), (5, "Twice the same row stands here."), (6, "中文 texts é — and 😀 signs!\nLine two | menu | more"), (7, "word " * 30_000)]
+CLASH = "h string, w string, fp string, key string, n string, line string, at string, tk string, path string, starts string, host string, id string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    names = [c.split()[0] for c in CLASH.split(", ")]
+    return spark.createDataFrame([(*e, *names) for e in EDGES], f"doc_id long, text string, {CLASH}")
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], f"doc_id long, text string, {CLASH}")
+
+
+def benchmark(spark, rows=((1, corpus()[0][1]), (2, None), (3, ""), (4, "one two"))):
+    return spark.createDataFrame(list(rows), "item_id long, text string")
+
+
+OPERATORS = {
+    "quality": lambda s, d: quality_rules.judge(d),
+    "repeats": lambda s, d: substring_dedup.remove_repeats(d),
+    "licenses": lambda s, d: license_scan.scan(license_scan.document_files(d.withColumn("source", d["path"])), "path"),
+    "tokens": lambda s, d: token_counts.token_counts(d, PIECES),
+    "html": lambda s, d: html_extraction.main_text(d, "doc_id", "host", "text"),
+    "warc": lambda s, d: warc_zip.round_trip(d, id_col="doc_id", url_col="host", html_col="text"),
+    "lines": lambda s, d: line_dedup.dedup_lines(d),
+    "packing": lambda s, d: packing.pack(d, BPE),
+    "simhash": lambda s, d: simhash_dedup.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_edge_rows(spark, edges, name):
+    rows = OPERATORS[name](spark, edges).collect()
+    if name == "packing":
+        assert len({(r["id"], r["doc_tokens"]) for r in rows}) == 7 and sum(r["length"] for r in rows if r["id"] == 5) == 2 * next(r["doc_tokens"] for r in rows if r["id"] == 5)
+    else:
+        assert len(rows) == len(EDGES)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_rows(spark, nothing, name):
+    assert OPERATORS[name](spark, nothing).count() == 0
+
+
+def test_decontamination_edges(spark, edges, nothing):
+    assert decontamination.contaminated(edges, benchmark(spark)).count() == 0
+    assert decontamination.contaminated(nothing, benchmark(spark)).count() == 0
+    assert decontamination.contaminated(edges, benchmark(spark, [])).count() == 0
+    assert decontamination.decontaminate(edges, benchmark(spark, [(9, EDGES[4][1])])).count() == len(EDGES) - 2
+
+
+def test_quality_counts(docs):
+    texts = dict(corpus())
+    for r in quality_rules.judge(docs).collect():
+        ws, lines = words_of(texts[r["id"]]), [x for x in texts[r["id"]].split("\n") if words_of(x)]
+        windows = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(ws), sum(map(len, ws)), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(ws) < 10 or 100 * len(covered) > 20 * len(ws)) and not (r["kept"] and r["base_failed"])
+
+
+def test_quality_rules_reject_menus_and_symbols(spark):
+    prose = "This is a whole sentence of some length, as people write them.\nAnother one follows it here."
+    rows = [(1, prose), (2, "home | news | sport | more | login | help | about us |\n" * 4), (3, " ".join(f"word{k}###" for k in range(30))), (4, prose + "\nAll rights reserved.")]
+    found = {r["id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k]["kept"] for k in (1, 2, 3, 4)] == [True, False, False, True]
+    assert found[4]["cleaned_text"] == prose and found[1]["cleaned_text"] == prose
+
+
+@pytest.mark.parametrize("window,cells", [(50, 1 << 29), (8, 1 << 21)])
+def test_repeats(docs, window, cells):
+    texts = {k: words_of(t) for k, t in corpus()}
+    first = {}
+    for k in sorted(texts):
+        for i in range(len(texts[k]) - window + 1):
+            first.setdefault(tuple(texts[k][i : i + window]), k)
+    gone = 0
+    for r in substring_dedup.remove_repeats(docs, window=window, max_cells=cells).collect():
+        ws = texts[r["id"]]
+        off = {i + j for i in range(len(ws) - window + 1) if first[tuple(ws[i : i + window])] < r["id"] for j in range(window)}
+        kept = " ".join(w for i, w in enumerate(ws) if i not in off)
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) == (len(ws), len(off), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        gone += len(off)
+    assert gone
+
+
+def test_sketch_packing():
+    r = random.Random(3)
+    cells = np.sort(np.array([r.randrange(1 << 21) for _ in range(500)] + [5, 5, 700_000, 700_000]))
+    assert (substring_dedup._unpack(substring_dedup._pack(cells)) == cells).all()
+
+
+def test_simhash_components(docs):
+    def fingerprint(text):
+        ws = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        shingles = [" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))] if ws else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps = {k: fingerprint(t) for k, t in corpus()}
+    root = {k: k for k in fps}
+    for _ in fps:
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    root[a] = root[b] = min(root[a], root[b])
+    for hot in (256, 1):
+        found = {r["id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash_dedup.near_duplicates(docs, hot_bucket=hot).collect()}
+        assert found == {k: (fps[k], root[k]) for k in fps}
+    assert len(set(root.values())) < len(root)
+
+
+def test_majority_bits_of_long_groups():
+    r = np.random.default_rng(1)
+    groups = [r.integers(0, 1 << 63, n, np.uint64) for n in (1, 0, 2, 254, 255, 256, 1000)]
+    found = simhash_dedup.majority_bits(np.concatenate(groups), np.array([len(g) for g in groups]))
+    for g, f in zip(groups, found):
+        assert int(f) == sum(1 << b for b in range(64) if 2 * int((g >> np.uint64(b) & np.uint64(1)).sum()) > len(g))
+
+
+def test_components_of_chains_and_stars(spark):
+    pairs = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 200), (202, 202)]
+    found = connected_components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "test"))
+    assert dict(found.collect()) == {k: 0 for k in range(31)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
+
+
+def similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def test_line_dedup(spark):
+    base = "the quick brown foxes jumped happily over several lazy sleeping dogs yesterday evening near old river banks"
+    variants = [base.replace("happily", w) for w in ("gladly", "happily", "merrily", "bravely")]
+    rows = [(k, f"{v.upper()}!\nsome other line number{'x' * k} of many words entirely different here {k}\nshort one") for k, v in enumerate(variants)]
+    rows += [(10, base + "."), (11, None)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0]["removed_lines"] == [] and out[10]["removed_lines"] == [0] and out[10]["text"] == "" and out[11]["text"] is None
+    assert all(out[k]["text"].endswith("short one") for k in range(4))
+
+
+def test_line_groups_are_those_of_all_pairs(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(4, 9))) for _ in range(200)]
+    lines = []
+    for _ in range(25):
+        words = [r.choice(vocabulary) for _ in range(r.randint(12, 40))]
+        for _ in range(r.randint(1, 6)):
+            copy = list(words)
+            for _ in range(r.randint(0, 2)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            lines.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    scratch = Scratch(spark, "test")
+    found = {g["id"]: g["root"] for g in line_dedup.line_groups(docs, scratch).collect()}
+    rows = spark.read.parquet(f"{scratch.path}/lines").collect()
+    fps = {g["id"]: g["fp"] % (1 << 64) for g in rows}
+    cuts = [64 * i // 5 for i in range(6)]
+    shared = lambda a, b: sum((a ^ b) >> lo & ((1 << hi - lo) - 1) == 0 for lo, hi in zip(cuts, cuts[1:]))
+    root = {k: k for k in fps}
+    for _ in range(6):
+        for a in fps:
+            for b in fps:
+                if a < b and (lines[a] == lines[b] or shared(fps[a], fps[b]) >= 2 and (fps[a] ^ fps[b]).bit_count() <= 14 and similarity(lines[a], lines[b]) >= 0.8 - 1e-9):
+                    root[a] = root[b] = min(root[a], root[b])
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == g) for g in set(of.values()))
+    assert groups(found) == groups(root) and len(groups(root)) < len(root)
+
+
+def test_leaks(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    text = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = {k: text(r.randint(15, 57)) for k in range(8)} | {8: text(3)}
+    docs = {}
+    for k in range(40):
+        ws = text(r.randint(30, 200))
+        if k % 3 == 0:
+            item = list(items[r.randrange(9)])
+            if k % 2 and len(item) > 40:
+                item[0] = "other"
+            at = r.randrange(len(ws))
+            ws[at:at] = [w.upper() + "," for w in item]
+        docs[k] = " ".join(ws)
+    expected = {}
+    for d, t in docs.items():
+        ws = [w.strip(",").lower() for w in t.split()]
+        for i, item in items.items():
+            width = min(5, len(item))
+            grams = lambda x: [tuple(x[j : j + width]) for j in range(len(x) - width + 1)]  # noqa: E731, B023
+            best = max((decontamination.weighted_jaccard(grams(ws[p : p + len(item)]), grams(item)) for p in range(len(ws) - len(item) + 1)), default=0)
+            if best >= 0.8:
+                expected[d, i] = round(best, 6)
+    found = decontamination.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string"))
+    assert {(x["id"], x["item"]): round(x["similarity"], 6) for x in found.collect()} == expected and len(expected) > 8
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    tokenizer, texts = Tokenizer.from_file(BPE), dict(corpus())
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in packing.pack(docs, BPE, capacity=256, group_rows=20).collect():
+        pieces[r["id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    for k, text in texts.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        at = 0
+        for p in sorted(pieces[k], key=lambda p: p["start"]):
+            part = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()
+            assert (p["start"], p["doc_tokens"], p["ids_crc32"]) == (at, len(ids), zlib.crc32(part))
+            at += p["length"]
+        assert at == len(ids)
+    for ps in sequences.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 256
+
+
+def test_closest_fill_is_the_best_sum():
+    r = random.Random(2)
+    for _ in range(200):
+        counts = {r.randint(1, 30): r.randint(1, 3) for _ in range(r.randint(1, 5))}
+        capacity, sums = r.randint(1, 60), {0}
+        for length, n in counts.items():
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        fill = packing.closest_fill(counts, capacity)
+        assert sum(a * b for a, b in fill.items()) == max(s for s in sums if s <= capacity) and all(fill[a] <= counts[a] for a in fill)
+
+
+def test_units_encode_as_the_whole_text():
+    from tokenizers import Tokenizer
+
+    tokenizer, r = Tokenizer.from_file(BPE), random.Random(4)
+    known = packing.UnitIds(BPE)
+    for _ in range(500):
+        text = "".join(r.choice(" \n\t ab'sé1.,   中😀") for _ in range(r.randint(0, 30)))
+        us = packing.units(text) if text else []
+        known.learn(us)
+        assert "".join(us) == text and b"".join(known[u] for u in us) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_token_counts(docs):
+    scores = token_counts.unigram(PIECES)
+    byte = min(scores.values()) - 5.0
+
+    def count(word):
+        text = token_counts.MARK + word
+        best = [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            size = len(text[end - 1].encode())
+            options = [(best[end - 1][0] + size * byte, best[end - 1][1] - size)]
+            options += [(best[s][0] + scores[text[s:end]], best[s][1] - 1) for s in range(end) if text[s:end] in scores]
+            best.append(max(options))
+        return -best[-1][1]
+
+    texts = dict(corpus())
+    for r in token_counts.token_counts(docs, PIECES).collect():
+        ws = words_of(texts[r["id"]])
+        assert (r["n_words"], r["n_tokens"]) == (len(ws), sum(map(count, ws)))
+
+
+def test_main_text():
+    page = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><div class="cookie-notice">We use cookies.</div><header><h1>Site</h1></header>
+    <nav><a href="/">Home</a></nav><div class="sidebar"><p>Side stuff, and more of it.</p></div><div class="post-content"><h2>Title &amp; more</h2><p>First para, with <a href="x">a link</a>
+    inside. It goes on, and on.</p><!-- <p>hidden</p> --><ul><li>one<li>two</ul><p>Second&nbsp;para.<form><input><label>Mail</label></form></p></div>
+    <div class="comments"><p>Nice post! I like it, a lot. Really, I do like it a lot.</p></div><footer>c</footer></body></html>"""
+    assert html_extraction.Page(page).extract(None) == "Title & more First para, with a link inside. It goes on, and on. one two Second para."
+    assert html_extraction.Page("").extract(None) == "" and html_extraction.Page("just text &lt;").extract("/x") == "just text <"
+
+
+def test_host_consensus(spark):
+    good = '<body><div class="story-{0}"><p>{1}</p></div><div class="box"><p>Short, one.</p></div></body>'
+    odd = '<body><div class="story-9"><p>A brief, but true, story of the day.</p></div><div class="box"><p>Long box, with words, and words, yes.</p></div></body>'
+    pages = [(k, f"http://www.a.example/{k}", good.format(k, "A long story, told in full. " * 5)) for k in range(4)] + [(9, "http://a.example/9", odd), (10, None, None)]
+    found = {r["page_id"]: r["text"] for r in html_extraction.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found[9] == "A brief, but true, story of the day." and found[10] == "" and found[0].startswith("A long story")
+
+
+def test_zip64_packages(tmp_path):
+    for zip64 in (False, True):
+        path = tmp_path / f"{zip64}.zip"
+        with path.open("wb") as f:
+            z = warc_zip.StoredZip(f, zip64)
+            for name, data in (("a.txt", b"alpha"), ("dir/b.bin", bytes(range(256)) * 9)):
+                z.begin(name)
+                z.write(data[:3])
+                z.write(data[3:])
+                z.end()
+            z.close()
+        raw = path.read_bytes()
+        found = warc_zip.central_directory(lambda at, n: raw[at : at + n], len(raw))
+        assert {k: raw[a : a + n] for k, (a, n) in found.items()} == {"a.txt": b"alpha", "dir/b.bin": bytes(range(256)) * 9}
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None and z.read("a.txt") == b"alpha"
+    foreign = tmp_path / "foreign.zip"
+    with zipfile.ZipFile(foreign, "w") as z:
+        z.writestr("x", b"stored here")
+        z.writestr(zipfile.ZipInfo("packed"), gzip.compress(b"y"), zipfile.ZIP_DEFLATED)
+        z.comment = b"a comment"
+    raw = foreign.read_bytes()
+    at, n = warc_zip.central_directory(lambda at, n: raw[at : at + n], len(raw))["x"]
+    assert raw[at : at + n] == b"stored here"
+
+
+def test_licenses(spark):
+    rows = [
+        ("r/LICENSE", "Released under the MIT License."), ("r/a/b/code.py", "nothing here"), ("r/a/own.py", "text\nLicensed under the Apache License, Version 2.0.\nmore"),
+        ("r/x/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("r/x/y/z.py", ""), ("s/free.py", "plain"), (None, "plain"),
+    ]
+    found = {r["path"]: (r["license"], r["origin"], r["from_folder"]) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {
+        "r/LICENSE": ("MIT", "own", None), "r/a/b/code.py": ("MIT", "inherited", "r"), "r/a/own.py": ("Apache-2.0", "own", None), "r/x/LICENSE": ("GPL-3.0", "own", None),
+        "r/x/y/z.py": ("GPL-3.0", "inherited", "r/x"), "s/free.py": (None, "none", None), None: (None, "none", None),
+    }
+
+
+def test_pipeline_stages(spark, tmp_path):
+    rows = corpus(7, 40)
+    rows = [(k, t, "en", "s", len(t)) for k, t in rows] + [(90, None, None, None, None), (91, rows[0][1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, rows[4][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / f"out{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+        if k < 4:
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+            seen.append(docs.count())
+    assert seen == sorted(seen, reverse=True) and seen[-1] > 10 and docs.agg({"length": "sum"}).first()[0] > 0
