@@ -105,7 +105,7 @@ def restore(texts: DataFrame, mapping: DataFrame, session_col: str, order_col: s
     return out.withColumn("_map", names).withColumn("restored", restore_in_row(F.col(text_col), F.col("_map"))).withColumn("unresolved", F.coalesce("unresolved", F.array().cast("array<string>"))).withColumn("n_restored", F.size(F.filter(tokens(F.col(text_col)), lambda t: F.try_element_at(F.col("_map"), t).isNotNull()))).drop("_map", "known")
 
 
-#: (regex with type and number, base confidence) of what stands in for a placeholder, in order of trial.
+# fixed values: (regex with type and number, base confidence) of what stands in for a placeholder, in order of trial
 FUZZY = (
     (r"^<([A-Z_]+)_([0-9]+)>$", 1.0),
     (r"(?i)^<([a-z][a-z_]+)_([0-9]+)>$", 0.95),

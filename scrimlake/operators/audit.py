@@ -83,7 +83,7 @@ def retained(events: DataFrame, now: Column, days: int) -> DataFrame:
     return events.where(F.col("timestamp") >= now - F.make_interval(days=F.lit(days)))
 
 
-#: The columns of a CSV export.
+# fixed values: the columns of a CSV export
 CSV = ("event_id", "event_type", "timestamp", "tenant_id", "user_id", "request_id", "entity_type", "entity_count", "strategy_used", "source_ip", "endpoint", "method", "status_code", "risk_level")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.functions.values import EMAIL, SECRETS
 from scrimlake.operators import anonymize as A
-from scrimlake.operators import audit, govern, secrets, spans, usage
+from scrimlake.operators import audit, chat, govern, secrets, spans, usage
 from scrimlake.sources import audit_log, lists
 from scrimlake.streaming import rehydrate
 
@@ -286,6 +286,40 @@ def fuzzy_placeholders(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", token.alias("t")).select("c_custkey", A.fuzzy_normal(F.col("t")).alias("normal"))
 
 
+@query(f"{_TYPED} SELECT doc_id, ptype, start, CASE WHEN ptype = 'IP' THEN '[REDACTED]' WHEN ptype = 'CREDIT_CARD' THEN {_MASK} ELSE '<' || ptype || '_' || number || '>' END AS new FROM n")
+def strategy_overlay(spark, sf_dir):
+    out = A.anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), strategies={**A.STRATEGIES, "IP": "redact"}, patterns=FOUR)
+    return out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.start", "e.new")
+
+
+@query("""WITH u AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, min(turn) AS f FROM conversations WHERE role = 'system' GROUP BY 1)
+SELECT c.conv_id, turn, role, CASE WHEN role = 'system' AND turn = f AND u.conv_id IS NOT NULL THEN text || chr(10) || chr(10) || 'Keep placeholders.' ELSE text END AS text FROM conversations c LEFT JOIN f USING (conv_id) LEFT JOIN u USING (conv_id)
+UNION ALL SELECT conv_id, -1, 'system', 'Keep placeholders.' FROM u ANTI JOIN f USING (conv_id)""")
+def prompt_injected_messages(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.inject_prompt(turns, turns.where("role = 'user'"), "conv_id", "turn", "Keep placeholders.")
+
+
+@query("SELECT conv_id, sha256(conv_id % 5 || chr(31) || 'm' || chr(31) || string_agg(role || ':' || text, chr(31) ORDER BY turn)) AS key FROM conversations GROUP BY conv_id")
+def cache_key(spark, sf_dir):
+    return chat.cache_keys(_table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("conv_id") % 5, "m")
+
+
+@query("SELECT conv_id, turn, TRUE AS whole, TRUE AS short FROM conversations")
+def chunk_preserving_placeholders(spark, sf_dir):
+    """Whether the pieces of each anonymised turn make it up again and none is too long."""
+    rows = _sessions(spark, sf_dir)[0].select("conv_id", "turn", "anon_text")
+    cut = rows.withColumn("c", chat.chunks(F.col("anon_text"), 200))
+    return cut.select("conv_id", "turn", (F.array_join("c", "") == F.col("anon_text")).alias("whole"), F.forall("c", lambda x: F.length(x) <= 200).alias("short"))
+
+
+@query()
+def entity_intent_context(spark, sf_dir):
+    turns = _chat(spark, sf_dir)
+    found = turns.select("conv_id", "turn", "text", F.explode(spans.resolve(spans.detect(F.col("text"), (spans.MAIL, spans.IPV4)))).alias("s"))
+    return found.select("conv_id", "turn", "s.start", "s.value", chat.entity_intent(F.col("text"), F.col("s.start"), F.col("s.end")).alias("i")).select("conv_id", "turn", "start", "value", "i.is_question", "i.confidence")
+
+
 # ---- audit: events as an audit log
 
 _KINDS = {"view": "pii_detected", "click": "pii_anonymized", "purchase": "api_request", "signup": "auth_failure", "error": "api_error"}
@@ -489,7 +523,7 @@ def _folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-_CHAT_TEXT = "text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 || '.' ELSE '' END"
+_CHAT_TEXT = "text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 ELSE '' END"
 
 
 @query(f"SELECT conv_id, string_agg(t, chr(10) ORDER BY turn) AS restored FROM (SELECT conv_id, turn, {_CHAT_TEXT} AS t FROM conversations) GROUP BY conv_id")

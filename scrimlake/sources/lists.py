@@ -1,5 +1,7 @@
 """Configuration read as relations: allowlists from text files, patterns and presets from YAML, event streams of a model."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,30 @@ def patterns(path: str) -> tuple[Pattern, ...]:
     return tuple(Pattern(r["name"], r["entity_type"], r["regex"], float(r.get("score", 0.7))) for r in rows)
 
 
+@dataclass(frozen=True)
+class Preset:
+    """A compliance preset: strategies by placeholder type, the strategy of other types, patterns, days to keep audit events."""
+
+    name: str
+    strategies: dict[str, str]
+    default: str
+    patterns: tuple[Pattern, ...]
+    retention_days: int | None
+
+
+def preset(path: str) -> Preset:
+    """A preset from YAML; its strategies may hold a default."""
+    import yaml
+
+    with open(path) as f:
+        row = yaml.safe_load(f) or {}
+    if not row.get("name"):
+        raise ValueError(f"the preset of {path} has no name")
+    strategies = dict(row.get("strategies") or {})
+    found = tuple(Pattern(r["name"], r["entity_type"], r["regex"], float(r.get("score", 0.7))) for r in row.get("custom_patterns") or [])
+    return Preset(row["name"], strategies, strategies.pop("default", "placeholder"), found, (row.get("retention") or {}).get("audit_days"))
+
+
 CHUNK = "id string, created long, model string, choices array<struct<index:int,delta:struct<role:string,content:string>,finish_reason:string>>"
 
 
