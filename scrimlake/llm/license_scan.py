@@ -8,7 +8,7 @@ one has the license of the nearest directory above it that holds a licence file:
 the directories above them, and files with their own directory.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrimlake.llm.common import Scratch
@@ -50,9 +50,9 @@ def own_licenses(files: DataFrame, scratch: Scratch, threshold: float = THRESHOL
     vectors = scratch.save(_vectors(headers, "header", "header"), "vectors")
     templates = spark.createDataFrame(TEMPLATES, "license string, wording string")
     wording = _vectors(templates.select("license", "wording"), "license", "wording")
-    total = headers.agg((F.coalesce(F.sum("n"), F.lit(0)) + len(TEMPLATES)).alias("total"))
+    total = headers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + len(TEMPLATES)
     seen = vectors.join(headers, "header").groupBy("term").agg(F.sum("n").alias("n")).unionByName(wording.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    idf = seen.groupBy("term").agg(F.sum("n").alias("df")).join(F.broadcast(total)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = seen.groupBy("term").agg(F.sum("n").alias("df")).select("term", (F.log((1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda v: v.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     h, t = weigh(vectors), weigh(wording)
     norm = lambda v, key: v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias(f"{key}_norm"))
