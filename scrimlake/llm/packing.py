@@ -11,6 +11,7 @@ as many windows as its lengths allow.
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scrimlake.llm.common import Scratch
 
-_KNOWN_UNITS = 300_000
+_KNOWN_UNITS = 1_000_000
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -64,52 +65,65 @@ def plan(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int]
 
 
 class UnitIds(dict):
-    """Token ids, as little-endian bytes, of the runs of text between spaces. The tokenizer's pre-tokens never reach
-    over a space that follows another character, so texts can be encoded run by run; runs seen are remembered."""
+    """Token ids, as little-endian bytes, of the runs of text that follow a space, and in heads of those that begin a
+    text. The tokenizer's pre-tokens never reach over a space that follows another character, so texts can be
+    encoded run by run; runs seen are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.heads = Tokenizer.from_file(path), {}
 
-    def learn(self, units: list[str]) -> None:
-        if len(self) + len(units) > _KNOWN_UNITS:
+    def learn(self, texts: list[list[str]]) -> None:
+        """Makes sure that all runs of these texts are known."""
+        new = {u for us in texts for u in us if u not in self}
+        if len(self) + len(new) + len(self.heads) > _KNOWN_UNITS:
             self.clear()
-        for unit, coded in zip(units, self.tokenizer.encode_batch(units, add_special_tokens=False)):
-            self[unit] = np.array(coded.ids, "<u4").tobytes()
+            self.heads.clear()
+            new = {u for us in texts for u in us}
+        heads = {us[0] for us in texts if us} - self.heads.keys()
+        for known, runs, before in ((self, list(new), " "), (self.heads, list(heads), "")):
+            for run, coded in zip(runs, self.tokenizer.encode_batch([before + r for r in runs], add_special_tokens=False)):
+                known[run] = np.array(coded.ids, "<u4").tobytes()
+
+    def ids(self, units: list[str]) -> bytes:
+        return self.heads[units[0]] + b"".join(map(self.__getitem__, units[1:])) if units else b""
+
+
+@lru_cache(maxsize=1)
+def _units_of(path: str) -> UnitIds:
+    """Kept by the worker from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return UnitIds(path)
 
 
 def units(text: str) -> list[str]:
-    """The text cut before each space that follows a character other than a space."""
-    if "  " in text or text[:1] == " ":
+    """The text cut at each space that follows a character other than a space; joined by spaces they are the text."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " ":
         out, at = [], 0
         for k in range(1, len(text)):
             if text[k] == " " and text[k - 1] != " ":
                 out.append(text[at:k])
-                at = k
+                at = k + 1
         return [*out, text[at:]]
-    first, *others = text.split(" ")
-    return [first, *[" " + x for x in others]]
+    return text.split(" ")
 
 
 def _pieces(path: str, capacity: int, end: int) -> Callable:
     """(id, tokens, lengths, crcs) of each text: what its pieces are, cut every `capacity` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, last = UnitIds(path), np.array([end], "<u4").tobytes()
+        known, last = _units_of(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 200):
-                part = [units(t) if t else [] for t in texts[at : at + 200]]
-                new = {u for us in part for u in us if u not in known}
-                if len(known) + len(new) > _KNOWN_UNITS:
-                    known.clear()
-                    new = {u for us in part for u in us}
-                known.learn(list(new))
+                part = [units(t or "") for t in texts[at : at + 200]]
+                known.learn(part)
                 tokens, lengths, crcs = [], [], []
                 for us in part:
-                    ids = b"".join(map(known.__getitem__, us)) + last
+                    ids = known.ids(us) + last
                     cuts = range(0, len(ids), 4 * capacity)
                     tokens.append(len(ids) // 4)
                     lengths.append([len(ids[c : c + 4 * capacity]) // 4 for c in cuts])

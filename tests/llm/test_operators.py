@@ -302,9 +302,9 @@ def test_units_encode_as_the_whole_text():
     known = packing.UnitIds(BPE)
     for _ in range(500):
         text = "".join(r.choice(" \n\t ab'sé1.,   中😀") for _ in range(r.randint(0, 30)))
-        us = packing.units(text) if text else []
-        known.learn(us)
-        assert "".join(us) == text and b"".join(known[u] for u in us) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        us = packing.units(text)
+        known.learn([us])
+        assert " ".join(us) == text and known.ids(us) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_token_counts(docs):
