@@ -1,6 +1,6 @@
 """Token counts by a unigram model over a trie of pre-tokens.
 
-Pre-tokens are the words of a text with a mark before them. Each task keeps its distinct pre-tokens; the new
+Pre-tokens are the words of a text with a mark before them. Each worker keeps its distinct pre-tokens; the new
 ones are laid out in order, which walks their trie depth first: what a pre-token shares with the one before it
 is on the stack already, so the forward score of a prefix (of its best segmentation) is computed once. At the
 end of a pre-token its count of pieces is stored, and a text's count is the sum over its words.
@@ -11,13 +11,14 @@ piece costs one token for each of its UTF-8 bytes. Of segmentations that score a
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-_KNOWN = 400_000
+_KNOWN = 800_000
 
 
 def unigram(path: str) -> dict[str, float]:
@@ -63,9 +64,15 @@ class TrieCounts(dict):
             self[word] = tokens[-1]
 
 
+@lru_cache(maxsize=1)
+def _counts_of(path: str) -> TrieCounts:
+    """Kept by the worker from task to task."""
+    return TrieCounts(unigram(path))
+
+
 def _count(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TrieCounts(unigram(path))
+        known = _counts_of(path)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n_words, n_tokens = [], []
