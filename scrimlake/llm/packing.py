@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scrimlake.llm.common import Scratch
 
-_KNOWN_UNITS = 1_000_000
+_KNOWN_UNITS = 1_600_000
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -76,11 +76,11 @@ class UnitIds(dict):
 
     def learn(self, texts: list[list[str]]) -> None:
         """Makes sure that all runs of these texts are known."""
-        new = {u for us in texts for u in us if u not in self}
+        new = set().union(*texts) - self.keys()
         if len(self) + len(new) + len(self.heads) > _KNOWN_UNITS:
             self.clear()
             self.heads.clear()
-            new = {u for us in texts for u in us}
+            new = set().union(*texts)
         heads = {us[0] for us in texts if us} - self.heads.keys()
         for known, runs, before in ((self, list(new), " "), (self.heads, list(heads), "")):
             for run, coded in zip(runs, self.tokenizer.encode_batch([before + r for r in runs], add_special_tokens=False)):
