@@ -232,6 +232,22 @@ def test_line_groups_are_those_of_all_pairs(spark):
     assert groups(found) == groups(root) and len(groups(root)) < len(root)
 
 
+def test_line_groups_find_changed_words(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(5, 8)))
+    texts = []
+    for size, changed in ((5, 1), (10, 1), (12, 2), (20, 2), (40, 1), (60, 6), (60, 10)) * 12:
+        words = [word() for _ in range(size)]
+        copy = list(words)
+        for k in r.sample(range(size), changed):
+            copy[k] = copy[k][:2] + word()[:3] + copy[k][5:] if size > 5 else copy[k][:-1] + "zz"
+        texts += [" ".join(words), " ".join(copy)]
+    groups = line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "test"), by_runs=True)
+    root = {g["id"]: g["root"] for g in groups.collect()}
+    alike = [k for k in range(0, len(texts), 2) if similarity(texts[k], texts[k + 1]) >= 0.8]
+    assert len(alike) == len(texts) // 2 and all(root[k] == root[k + 1] for k in alike) and len(set(root.values())) == len(alike)
+
+
 def test_leaks(spark):
     r = random.Random(9)
     vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(400)]
