@@ -55,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, the numbers of those that an earlier like line makes superfluous, and what is left."""
-    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), by_runs=True)
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), by_runs=True, short=True)
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("left_sha256"))
 
 

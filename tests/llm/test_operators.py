@@ -248,6 +248,14 @@ def test_line_groups_find_changed_words(spark):
     assert len(alike) == len(texts) // 2 and all(root[k] == root[k + 1] for k in alike) and len(set(root.values())) == len(alike)
 
 
+def test_short_lines(spark):
+    han = "这是一个没有空格的很长的句子它应该被当作重复的行来处理才对呢好"
+    texts = ["All rights reserved.\n\n***\n12.5 %", "all rights reserved\n \n***\n12.6 %", han, han.replace("长", "短"), "\u00a0\nown", "\u00a0\nother"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(docs, by_runs=True, short=True).collect()}
+    assert gone == {0: [], 1: [0, 2], 2: [], 3: [0], 4: [], 5: []}
+
+
 def test_leaks(spark):
     r = random.Random(9)
     vocabulary = ["".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9))) for _ in range(400)]
