@@ -9,6 +9,7 @@ as many windows as its lengths allow.
 """
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from scrimlake.llm.common import Scratch
 
 _KNOWN_UNITS = 1_600_000
+_CUT = re.compile(r"(?<=\S) ")
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -66,8 +68,8 @@ def plan(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int]
 
 class UnitIds(dict):
     """Token ids, as little-endian bytes, of the runs of text that follow a space, and in heads of those that begin a
-    text. The tokenizer's pre-tokens never reach over a space that follows another character, so texts can be
-    encoded run by run; runs seen are remembered."""
+    text. The tokenizer's pre-tokens never reach over a space that follows a character other than white space, so
+    texts can be encoded run by run; runs seen are remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,17 +100,8 @@ def _units_of(path: str) -> UnitIds:
 
 
 def units(text: str) -> list[str]:
-    """The text cut at each space that follows a character other than a space; joined by spaces they are the text."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " ":
-        out, at = [], 0
-        for k in range(1, len(text)):
-            if text[k] == " " and text[k - 1] != " ":
-                out.append(text[at:k])
-                at = k + 1
-        return [*out, text[at:]]
-    return text.split(" ")
+    """The text cut at each space that follows a character other than white space; joined by spaces they are the text."""
+    return _CUT.split(text) if text else []
 
 
 def _pieces(path: str, capacity: int, end: int) -> Callable:

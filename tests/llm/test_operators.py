@@ -331,6 +331,18 @@ def test_units_encode_as_the_whole_text():
         assert " ".join(us) == text and known.ids(us) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_units_of_mixed_white_space():
+    from tokenizers import Tokenizer
+
+    tokenizer, r = Tokenizer.from_file(BPE), random.Random(6)
+    known = packing.UnitIds(BPE)
+    texts = ["a \u00a0 \u00a0 b"] + ["".join(r.choice(" \u00a0\u3000\u2003\u0085\x1c\x1f\t\n\rab1,") for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    for text in texts:
+        us = packing.units(text)
+        known.learn([us])
+        assert " ".join(us) == text and known.ids(us) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_counts(docs):
     scores = token_counts.unigram(PIECES)
     byte = min(scores.values()) - 5.0
