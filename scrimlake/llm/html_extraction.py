@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scrimlake.llm.common import Scratch
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("head title nav aside footer form button dialog label fieldset menu".split())
@@ -95,7 +95,7 @@ class Page:
                     hide |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
                 elif key in ("hidden", "aria-hidden"):
                     hide |= key == "hidden" or value.lower() == "true"
-                else:
+                elif key in ("id", "role"):
                     ident += " " + value
             inside = any(t == "article" for t, _, _ in stack)
             off = noise() or hide or tag in _NEVER or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and tag not in _INLINE and bool(_NOISE.search(names + ident)))
@@ -120,8 +120,12 @@ class Page:
         return [s * bonus for s, (_, bonus) in zip(out, self.containers)]
 
     def best(self) -> int:
+        """The container of the highest score, or the innermost article around it, or else the innermost main."""
         scores = self.scores()
-        return max(range(len(scores)), key=scores.__getitem__) if scores else -1
+        top = max(range(len(scores)), key=scores.__getitem__) if scores else -1
+        around = next((above[: above.index(top) + 1] for _, above, _ in self.blocks if top in above), ())
+        tags = {n: self.containers[n][0].rsplit("/", 1)[1].split(".")[0] for n in around}
+        return next((n for tag in ("article", "main") for n in reversed(around) if tags[n] == tag), top)
 
     def text_of(self, numbers: set[int]) -> str:
         return " ".join(text for text, above, _ in self.blocks if numbers.intersection(above))
@@ -132,6 +136,8 @@ class Page:
             return " ".join(text for text, _, _ in self.blocks)
         mine = self.text_of({own})
         voted = {n for n, (p, _) in enumerate(self.containers) if p == path}
+        if any(own in above and voted.intersection(above[above.index(own) + 1 :]) for _, above, _ in self.blocks):
+            return mine  # a part of it would lose the rest
         text = self.text_of(voted) if voted else ""
         return text if 2 * len(text) >= len(mine) else mine
 

@@ -372,6 +372,17 @@ def test_main_text():
     assert html_extraction.Page("").extract(None) == "" and html_extraction.Page("just text &lt;").extract("/x") == "just text <"
 
 
+def test_whole_article_and_exact_attributes():
+    body = "<div class='article-body'><p>" + "A long story, told in full. " * 20 + "</p></div>"
+    page = html_extraction.Page(f"<body><main><article><h1>Title</h1><p class=lead>The lead, in short.</p>{body}<p>The end, at last.</p></article></main></body>")
+    path = page.containers[-1][0]
+    for text in (page.extract(None), page.extract(path)):
+        assert text.startswith("Title The lead, in short. A long") and text.endswith("The end, at last.")
+    page = "<body><div data-role='nav' href='/wiki/hidden' title='a class=menu x'><p>Shown text, with words.</p></div></body>"
+    assert html_extraction.Page(page).extract(None) == "Shown text, with words."
+    assert html_extraction.Page("<body><div CLASS = menu><p>Not this.</p></div><p hidden>Nor this.</p><p>This.</p></body>").extract(None) == "This."
+
+
 def test_host_consensus(spark):
     good = '<body><div class="story-{0}"><p>{1}</p></div><div class="box"><p>Short, one.</p></div></body>'
     odd = '<body><div class="story-9"><p>A brief, but true, story of the day.</p></div><div class="box"><p>Long box, with words, and words, yes.</p></div></body>'
