@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a min per node (combined before its shuffle) and a join back, so a node with very many
-edges is never gathered in one place, and each round's edges are a written table. The number of rounds
-grows with the logarithm of the longest path.
+Every round is a min per node (combined before its shuffle) and a join back with that one row a node, whose other
+side, the edges of a node with very many, Spark may split (adaptive skew join). Each round's edges are a written
+table. The number of rounds grows with the logarithm of the longest path.
 """
 
 from pyspark.sql import DataFrame, Observation
