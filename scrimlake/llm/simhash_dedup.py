@@ -55,13 +55,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         lists = batch.column("h")
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(majority_bits(flat, lengths).view(np.int64))], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(majority_bits(flat, lengths).view(np.int64))], names=["id", "tk", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the SimHash of each row's lower-cased word shingles as a signed long; null or blank text gives 0."""
-    w = no_clash(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), words(ascii_lower(F.col(text_col))).alias("w"))
-    return w.select("id", shingle_hashes(F.col("w"), shingle).alias("h")).mapInArrow(_fingerprint_batches, "id long, fp long")
+    """(id, tk, fp): tk is a hash of the text, fp the SimHash of its lower-cased word shingles as a signed long; null or blank text gives 0."""
+    rows = no_clash(docs, id_col, text_col)
+    w = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("tk"), words(ascii_lower(F.col(f"`{text_col}`"))).alias("w"))
+    return w.select("id", "tk", shingle_hashes(F.col("w"), shingle).alias("h")).mapInArrow(_fingerprint_batches, "id long, tk long, fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -102,13 +103,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
     return pairs.unionByName(through.select(F.col("fp").alias("a"), F.col("m").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot_bucket: int = 256) -> DataFrame:
-    """(id, fp, component_id) for every row: rows whose fingerprints are linked by steps of at most 3 bits share
-    the smallest id reachable. Equal fingerprints are one node, so copies are never paired.
-
-    Null or blank text: fingerprint 0, linked like any other. Repeated rows come back as often as they come in.
-    A null id keeps its row and never names a component unless all ids there are null. Empty table: no rows.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.save(fingerprints(docs, id_col, text_col, shingle), "rows")
     nodes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
@@ -116,15 +111,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(edges, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("id", "fp", "component_id")
+    by_fp = scratch.save(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
+    scratch.drop("nodes", "edges", "hot")
+    return rows.join(by_fp, "fp").select("id", "tk", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hot_bucket: int = 256) -> DataFrame:
+    """(id, fp, component_id) for every row: rows whose fingerprints are linked by steps of at most 3 bits share
+    the smallest id reachable. Equal fingerprints are one node, so copies are never paired.
+
+    Null or blank text: fingerprint 0, linked like any other. Repeated rows come back as often as they come in.
+    A null id keeps its row and never names a component unless all ids there are null. Empty table: no rows.
+    """
+    return _components(docs, id_col, text_col, shingle, hot_bucket).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of docs that name their component: one document of each near-duplicate group, the smallest id.
 
-    Rows that repeat that id all stay if their texts are in the group; rows with a null id stay.
+    A row goes if its text's group has a smaller id. Rows that repeat the smallest id stay if their texts are in the group;
+    of rows with one id and unlike texts each is judged by its own group; rows with a null id stay. Null, empty and
+    blank texts are one group. Extra columns are carried; an empty table gives no rows.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    found = _components(docs, id_col, text_col, shingle)
+    gone = found.where(F.col("id") != F.col("component_id")).select("id", "tk").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("at"), F.xxhash64(f"`{text_col}`").alias("of"))
+    return rows.join(gone, (F.col("at") == F.col("id")) & (F.col("of") == F.col("tk")), "left_anti").select("row.*")

@@ -24,7 +24,9 @@ from scrimlake.llm.common import Scratch
 _P = 0x9E3779B97F4A7C15
 _ODD = (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)  # one multiplier for each row of the sketch
 _BLOCK = 1 << 21
-_KNOWN_WORDS = 400_000
+_KNOWN_WORDS = 100_000
+#: Windows that a task holds before it gives them on.
+_HELD = 250_000
 
 
 class WordHashes(dict):
@@ -94,13 +96,14 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _sketch(window: int, bits: int) -> Callable:
-    """Tasks send, for every few million windows, the touched cells of each block of each row."""
+    """Tasks send, for every million windows or so, the touched cells of each block of each row."""
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         h = np.concatenate(held)
         rows, blocks, packed = [], [], []
         for row in range(2):
-            cells = np.sort(_cells(h, row, bits))
+            cells = _cells(h, row, bits)
+            cells.sort()
             if len(cells) > 2:  # two of a kind are enough
                 cells = cells[np.r_[True, True, cells[2:] != cells[:-2]]]
             block = (cells // np.uint64(_BLOCK)).astype(np.int64)
@@ -119,7 +122,7 @@ def _sketch(window: int, bits: int) -> Callable:
                 if len(h):
                     held.append(h)
                     n += len(h)
-                if n >= 4_000_000:
+                if n >= 4 * _HELD:
                     yield emit(held)
                     held, n = [], 0
         if n:
@@ -147,16 +150,20 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeated(window: int, bits: int, sketch) -> Callable:
     """(id, tk, at, h, g) of windows whose estimate in both rows is at least 2."""
 
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "tk", "at", "h", "g"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rolling, rolling2 = WordHashes(), Rolling(window), Rolling(window)
         twice = [np.frombuffer(x, np.uint8) for x in sketch.value]
         for batch in batches:
             ids, keys = batch.column("id").to_numpy(zero_copy_only=False), batch.column("tk").to_numpy(zero_copy_only=False)
-            out = []
-            for i, text in enumerate(_texts(batch)):
-                if not text:
+            out, n = [], 0
+            for i in range(batch.num_rows):
+                text = batch.column("text")[i].as_buffer()
+                if text is None:
                     continue
-                words = _word_hashes(text, known)
+                words = _word_hashes(text.to_pybytes(), known)
                 h = rolling(words)
                 ok = np.ones(len(h), bool)
                 for row in range(2):
@@ -166,8 +173,12 @@ def _repeated(window: int, bits: int, sketch) -> Callable:
                 if len(at):
                     g = rolling2(mixed(words, 0xC4CEB9FE1A85EC53))[at]
                     out.append((np.full(len(at), ids[i]), np.full(len(at), keys[i]), at.astype(np.int32), h[at].view(np.int64), g.view(np.int64)))
+                    n += len(at)
+                if n >= _HELD:
+                    yield given(out)
+                    out, n = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["id", "tk", "at", "h", "g"])
+                yield given(out)
 
     return run
 
@@ -233,5 +244,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = scratch.save(groups, "groups")
     gone = seen.join(groups, ["h", "g"]).where("id > least").groupBy("id", "tk").agg(F.collect_set("at").alias("starts"))
     gone = scratch.save(gone, "gone")
+    scratch.drop("prints", "sketch", "seen", "groups")
     marked = rows.join(gone, ["id", "tk"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "tk"], "left")
     return marked.select("id", "text", "starts", "copy").mapInArrow(_cut(window, with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

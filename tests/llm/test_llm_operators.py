@@ -171,6 +171,13 @@ def test_simhash_components(docs):
     assert len(set(root.values())) < len(root)
 
 
+def test_keep_one_judges_each_text(spark):
+    rows = [(1, "the first text of them all"), (5, "the first text of them all"), (5, "another text with other words in it"), (7, None), (8, " "), (None, "the first text of them all")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, id string, tk string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(docs).collect()), key=str)
+    assert kept == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_majority_bits_of_long_groups():
     r = np.random.default_rng(1)
     groups = [r.integers(0, 1 << 63, n, np.uint64) for n in (1, 0, 2, 254, 255, 256, 1000)]
