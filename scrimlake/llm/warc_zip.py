@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -130,6 +131,11 @@ def _address(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def escaped(url: str | None) -> str:
+    """The url as it stands in headers and index lines: white space, controls and other signs beyond ASCII percent-coded."""
+    return quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")
+
+
 def _write_packages(folder: str, package_bytes: int) -> Callable:
     """Writes the rows of a task into packages of about package_bytes; gives (path, records)."""
 
@@ -155,11 +161,11 @@ def _write_packages(folder: str, package_bytes: int) -> Callable:
                     out = fs.open_output_stream(f"{root}/{name}.part")
                     package = {"name": name, "path": f"{root}/{name}", "out": out, "zip": StoredZip(out), "index": []}
                     package["zip"].begin(ARCHIVE)
-                payload = (row["html"] or "").encode()
+                payload, url = (row["html"] or "").encode(), escaped(row["url"])
                 kind, refers = ("revisit", str(row["first"])) if row["first"] is not None else ("response", None)
-                coded = gzip.compress(record(kind, str(row["id"]), row["url"] or "", payload, row["digest"], refers), 1, mtime=0)
+                coded = gzip.compress(record(kind, str(row["id"]), url, payload, row["digest"], refers), 1, mtime=0)
                 entry = {"id": row["id"], "offset": package["zip"].size, "length": len(coded)}
-                package["index"].append(f"{row['url'] or ''} 19700101000000 {json.dumps(entry)}\n".encode())
+                package["index"].append(f"{url} 19700101000000 {json.dumps(entry)}\n".encode())
                 package["zip"].write(coded)
                 if package["zip"].size >= package_bytes:
                     yield close()
@@ -182,8 +188,8 @@ def _read_packages(folder: str) -> Callable:
                     members = central_directory(read, file.size())
                     start, _ = members[ARCHIVE]
                     rows = []
-                    for line in read(*members[INDEX]).decode().splitlines():
-                        entry = json.loads(line[line.index(" 19700101000000 {") + 16 :])
+                    for line in read(*members[INDEX]).decode().split("\n")[:-1]:
+                        entry = json.loads(line.split(" ", 2)[2])
                         fields, body = parse_record(gzip.decompress(read(start + entry["offset"], entry["length"])))
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                         kind = fields["WARC-Type"]
@@ -229,7 +235,7 @@ def round_trip(pages: DataFrame, **columns) -> DataFrame:
 
     Null html: an empty payload, always a response. Payloads under 100 bytes: always responses. A repeated row has
     one record for each repeat, all of the same type. A null id is never a revisit nor referred to. Extra columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. Urls are percent-coded in headers and indexes, so any string will do.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = f"{scratch.path}/packages"
