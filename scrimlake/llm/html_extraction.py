@@ -25,11 +25,19 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _NEVER = frozenset("head title nav aside footer form button dialog label fieldset menu".split())
 _CONTAINERS = frozenset("article main section div body td blockquote".split())
-#: Words of class, id and role that mark what is no article text.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|header|masthead|banner|footer|foot|sidebar|side|aside|widget|complementary|contentinfo|cookies?|consent|notice|alert|popup|modal|overlay|ads?|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|respond|disqus|replies|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
+#: Tags that hold paragraphs and the like: names of a page's layout say nothing there.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table thead tbody tr td th dl dt dd li address details summary".split())
+_ADS = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|share|sharing|social|hidden"
+_EXTRA = _ADS + r"|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|related|recommend\w*|comments?|commentlist|respond|disqus|replies|pagination|pager|breadcrumbs?|toolbar|skip"
+_LAYOUT = _EXTRA + r"|nav|navbar|navigation|menu|menubar|masthead|banner|footer|foot|sidebar|side|aside|widget|complementary|contentinfo"
+
+
+def _words_pattern(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+#: Words of class, id and role that mark what is no article text: of inline tags, of paragraphs, of other tags outside articles and in them.
+_NOISE = {"inline": _words_pattern(_ADS), "prose": _words_pattern(_EXTRA), "inside": _words_pattern(_LAYOUT), "outside": _words_pattern(_LAYOUT + "|header")}
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
 _CLOSED_BY = {"p": frozenset("p div section article ul ol dl table h1 h2 h3 h4 h5 h6 blockquote pre header footer nav aside form main figure hr".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 _MARKS = re.compile(r"[.!?;:,。，、！？]")
@@ -98,7 +106,9 @@ class Page:
                 elif key in ("id", "role"):
                     ident += " " + value
             inside = any(t == "article" for t, _, _ in stack)
-            off = noise() or hide or tag in _NEVER or (tag == "header" and not inside) or (tag not in ("html", "body", "article", "main") and tag not in _INLINE and bool(_NOISE.search(names + ident)))
+            kind = "inline" if tag in _INLINE else "prose" if tag in _PROSE else "inside" if inside else "outside"
+            named = tag not in ("html", "body", "article", "main") and bool(names or ident) and bool(_NOISE[kind].search(names + ident))
+            off = noise() or hide or tag in _NEVER or (tag == "header" and not inside) or named
             number = -1
             if tag in _CONTAINERS and not off:
                 number = len(self.containers)
@@ -120,22 +130,35 @@ class Page:
         return [s * bonus for s, (_, bonus) in zip(out, self.containers)]
 
     def best(self) -> int:
-        """The container of the highest score, or the innermost article around it, or else the innermost main."""
+        """The container of the highest score, or the innermost article around it, or else the innermost main. A container
+        without classes is a part of the one above it, unless that is the body or adds more text in links than other text."""
         scores = self.scores()
         top = max(range(len(scores)), key=scores.__getitem__) if scores else -1
         around = next((above[: above.index(top) + 1] for _, above, _ in self.blocks if top in above), ())
-        tags = {n: self.containers[n][0].rsplit("/", 1)[1].split(".")[0] for n in around}
-        return next((n for tag in ("article", "main") for n in reversed(around) if tags[n] == tag), top)
+        steps = {n: self.containers[n][0].rsplit("/", 1)[1] for n in around}
+        whole = next((n for tag in ("article", "main") for n in reversed(around) if steps[n].split(".")[0] == tag), None)
+        if whole is not None:
+            return whole
+        for above in reversed(around[:-1]):
+            if "." in steps[top] or steps[above] == "body" or self.containers[top][1] > 1:
+                break
+            added = [(len(text), linked) for text, parents, linked in self.blocks if above in parents and top not in parents]
+            if 2 * sum(linked for _, linked in added) > sum(n for n, _ in added):
+                break
+            top = above
+        return top
 
     def text_of(self, numbers: set[int]) -> str:
         return " ".join(text for text, above, _ in self.blocks if numbers.intersection(above))
 
     def extract(self, path: str | None) -> str:
+        """The text of all containers of the path, or of the page's own best one and those of the same path: if the
+        page has none of the path, less than half as much text there, or the path is only a part of its own best."""
         own = self.best()
         if own < 0:
             return " ".join(text for text, _, _ in self.blocks)
-        mine = self.text_of({own})
-        voted = {n for n, (p, _) in enumerate(self.containers) if p == path}
+        of = lambda path: {n for n, (p, _) in enumerate(self.containers) if p == path}
+        mine, voted = self.text_of(of(self.containers[own][0])), of(path)
         if any(own in above and voted.intersection(above[above.index(own) + 1 :]) for _, above, _ in self.blocks):
             return mine  # a part of it would lose the rest
         text = self.text_of(voted) if voted else ""

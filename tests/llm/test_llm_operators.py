@@ -403,6 +403,26 @@ def test_whole_article_and_exact_attributes():
     assert html_extraction.Page("<body><div CLASS = menu><p>Not this.</p></div><p hidden>Nor this.</p><p>This.</p></body>").extract(None) == "This."
 
 
+def test_nothing_of_an_article_is_lost():
+    read = lambda body: html_extraction.Page(f"<html><body>{body}</body></html>").extract(None)
+    long = "<p>" + "A long story, told in full. " * 12 + "</p>"
+    assert read(f"<article><div class=post-content>{long}</div><p>BBB tail para.</p></article>").endswith("BBB tail para.")
+    assert read(f"<article>{long}</article><article><p>The second one.</p></article>").endswith("The second one.")
+    assert read(f"<div><div>{long}</div><div><p>Short end, too.</p></div></div>").endswith("Short end, too.")
+    assert read(f"<article><div class='article-header'><h1>Big title</h1></div>{long}</article>").startswith("Big title A long")
+    assert read(f"<article><p class='side'>From the side.</p>{long}</article>").startswith("From the side. A long")
+    assert "BUY" not in read(f"<article>{long}<p>So <span class='ad'>BUY NOW</span> it ends.</p></article>")
+    assert read(f"<div class=header><p>Site, name.</p></div><article>{long}<div class=comments><p>No!</p></div></article>").rstrip().endswith("in full.")
+
+
+def test_odd_urls(spark):
+    urls = ["http://a.example/x\u2028y", "http://a.example/a\nb", "a\u0085b", "c\r\n\r\nd: e", "", None, "http://é.example/ {z} 19700101000000 {"]
+    rows = [(k, u, "<p>" + "x" * 200) for k, u in enumerate(urls)]
+    found = {r["page_id"]: r for r in warc_zip.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: (r["record_type"], r["refers_to"]) for k, r in found.items()} == {0: ("response", None)} | {k: ("revisit", 0) for k in range(1, 7)}
+    assert all(r["payload_bytes"] == 203 for r in found.values())
+
+
 def test_host_consensus(spark):
     good = '<body><div class="story-{0}"><p>{1}</p></div><div class="box"><p>Short, one.</p></div></body>'
     odd = '<body><div class="story-9"><p>A brief, but true, story of the day.</p></div><div class="box"><p>Long box, with words, and words, yes.</p></div></body>'
