@@ -129,10 +129,14 @@ def for_logging(text: Column, most: int = 200) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 of an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+        return F.aggregate(counts, F.lit(0.0), lambda a, share: a - share * F.log2(share))
+
+    # an array of one binds the characters, which are then split once
+    return F.get(F.transform(F.array(F.array_remove(F.split(text, ""), "")), of), F.lit(0))
 
 
 def entropy_level(e: Column) -> Column:
@@ -172,3 +176,44 @@ def synthetic_phone(v: Column, seed: int = 42) -> Column:
 
 def synthetic_email(v: Column, seed: int = 42) -> Column:
     return F.concat(F.lit("user"), md5_mod(F.concat(F.lit(f"{seed}:"), F.lower(v)), 1_000_000).cast("string"), F.lit("@example.com"))
+
+
+# fixed values: postal codes by country, what a text must not hold, full IPv6 addresses
+POSTAL = {"CN": "^[0-9]{6}$", "US": "^[0-9]{5}(-[0-9]{4})?$", "UK": "(?i)^[A-Z]{1,2}[0-9][A-Z0-9]? [0-9][A-Z]{2}$", "JP": "^[0-9]{3}-[0-9]{4}$", "DE": "^[0-9]{5}$", "FR": "^[0-9]{5}$", "CA": "(?i)^[A-Z][0-9][A-Z] [0-9][A-Z][0-9]$"}
+DANGEROUS = r"(?i)<script[^>]*>|javascript:|on[a-z0-9_]+\s*="
+IPV6 = r"^(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$"
+
+
+def valid_ip(v: Column) -> Column:
+    """An IPv4 address or a full IPv6 one."""
+    return valid_ipv4(F.trim(v)) | F.trim(v).rlike(IPV6)
+
+
+def valid_postal_code(v: Column, country: Column) -> Column:
+    """By the country's form; of other countries, three to ten characters."""
+    code, out = F.trim(v), F.length(F.trim(v)).between(3, 10)
+    for name, form in POSTAL.items():
+        out = F.when(F.upper(country) == name, code.rlike(form)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
+def sanitize_input(text: Column, most: int = 10_000) -> Column:
+    """(ok, text): the trimmed text, or what is wrong with it."""
+    blank = F.coalesce(~text.rlike(r"\S"), F.lit(True))
+    wrong = F.when(blank, "Input cannot be empty").when(F.length(text) > most, f"Input exceeds maximum length of {most}").when(text.rlike(DANGEROUS), "Input contains potentially malicious content")
+    return F.struct(wrong.isNull().alias("ok"), F.coalesce(wrong, F.regexp_replace(text, r"^\s+|\s+$", "")).alias("text"))
+
+
+def normalize_spaces(text: Column) -> Column:
+    """Runs of white space, no-break spaces too, as one space; trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s 　 -     ]+", " "))
+
+
+def cjk_share(text: Column) -> Column:
+    """The share of CJK characters among those that aren't white space; 0 if there are none."""
+    all_of = F.regexp_count(text, F.lit(r"\S"))
+    return F.when(all_of > 0, F.regexp_count(text, F.lit(CJK)) / all_of).otherwise(0.0)
+
+
+def is_chinese(text: Column, least: float = 0.3) -> Column:
+    return cjk_share(text) >= least

@@ -140,3 +140,29 @@ def fuzzy_confidence(token: Column) -> Column:
     bracket = token.startswith("[") | token.startswith("{")
     score = base - F.when(mixed, 0.05).otherwise(0.0) - F.when(spaced, 0.05).otherwise(0.0) - F.least(F.lit(0.1), extra * 0.02) - F.when(bracket, 0.05).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)
+
+
+#: What may stand for a placeholder within a text.
+FUZZY_TOKEN = r"<\s*[A-Za-z][A-Za-z_]*?\s*[_\s:-]\s*[0-9]+\s*>|\[\s*[A-Za-z][A-Za-z_]*?\s*[_\s]\s*[0-9]+\s*\]|\{\{?\s*[A-Za-z][A-Za-z_]*?\s*[_\s]\s*[0-9]+\s*\}?\}|\(\s*[A-Za-z][A-Za-z_]*?\s*[_\s]\s*[0-9]+\s*\)"
+
+
+def restore_fuzzy(texts: DataFrame, mapping: DataFrame, session_col: str, order_col: str, text_col: str, least: float = 0.75) -> DataFrame:
+    """Like restore(), but variants of placeholders count too: by their place in the text, if their normal form, after one
+    pair of doubled braces goes, is in the session's mapping and its confidence is at least `least`. Adds restored."""
+    hits = lambda c: F.regexp_extract_all(c, F.lit(FUZZY_TOKEN), F.lit(0))
+    asked = texts.select(session_col, order_col, F.explode(F.array_distinct(hits(F.col(text_col)))).alias("hit"))
+    single = F.regexp_replace("hit", r"^\{(\{.*\})\}$", "$1")
+    asked = asked.withColumn("placeholder", fuzzy_normal(single)).where(fuzzy_confidence(single) >= least)
+    known = asked.join(mapping.select(session_col, "placeholder", "original"), [session_col, "placeholder"])
+    known = known.groupBy(session_col, order_col).agg(F.map_from_entries(F.collect_list(F.struct("hit", "original"))).alias("_map"))
+    out = texts.join(known, [session_col, order_col], "left")
+    parts = F.arrays_zip(F.split(text_col, FUZZY_TOKEN, -1).alias("gap"), hits(F.col(text_col)).alias("hit"))
+    put = F.array_join(F.flatten(F.transform(parts, lambda x: F.array(x["gap"], F.coalesce(F.try_element_at("_map", x["hit"]), x["hit"], F.lit(""))))), "")
+    return out.withColumn("restored", F.when(F.col("_map").isNull(), F.col(text_col)).otherwise(put)).drop("_map")
+
+
+def restore_synthetic(text: Column, entities: Column) -> Column:
+    """The text with each synthetic value of its entities put back, the longest first, so that none cuts another."""
+    made = F.filter(entities, lambda e: (e["strategy"] == "synthetic") & (e["new"] != "[REDACTED]"))
+    pairs = F.array_distinct(F.transform(made, lambda e: F.struct((-F.length(e["new"])).alias("n"), e["new"].alias("new"), e["value"].alias("value"))))
+    return F.aggregate(F.array_sort(pairs), text, lambda t, p: F.replace(t, p["new"], p["value"]))

@@ -4,21 +4,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _allowed(spans: DataFrame, allow: DataFrame) -> DataFrame:
-    """One row for each span that an enabled list allows. allow: entity_type ('*' for any), entry, enabled, case_sensitive."""
-    lists = allow.where("enabled").select(F.col("entity_type").alias("_type"), F.when(F.col("case_sensitive"), F.col("entry")).otherwise(F.lower("entry")).alias("_entry"), F.col("case_sensitive").alias("_cs"))
-    forms = F.array(F.struct(F.col("value").alias("_entry"), F.lit(True).alias("_cs")), F.struct(F.lower("value").alias("_entry"), F.lit(False).alias("_cs")))
-    both = spans.withColumn("_form", F.explode(forms)).select(*spans.columns, "_form._entry", "_form._cs")
-    return both.join(lists, ["_entry", "_cs"]).where((F.col("_type") == "*") | (F.col("_type") == F.col("entity_type"))).select(*spans.columns).distinct()
+def _joined(spans: DataFrame, allow: DataFrame, how: str) -> DataFrame:
+    """spans semi- or anti-joined with the enabled lists. allow: entity_type ('*' for any), entry, enabled, case_sensitive."""
+    lists = allow.where("enabled").select(F.col("entity_type").alias("_type"), F.when(F.col("case_sensitive"), F.col("entry")).otherwise(F.lower("entry")).alias("_entry"), F.col("case_sensitive").alias("_cs")).distinct()
+    # an equality join by the lower-cased value, of which the exact form is tested in lists that tell cases apart
+    keyed = lists.withColumn("_lower", F.lower("_entry"))
+    meets = (F.lower(spans["value"]) == F.col("_lower")) & (~F.col("_cs") | (spans["value"] == F.col("_entry"))) & ((F.col("_type") == "*") | (F.col("_type") == spans["entity_type"]))
+    return spans.join(keyed, meets, how)
 
 
 def exempt(spans: DataFrame, allow: DataFrame) -> DataFrame:
-    return _allowed(spans, allow)
+    """Spans that a list allows, repeats included."""
+    return _joined(spans, allow, "left_semi")
 
 
 def not_exempt(spans: DataFrame, allow: DataFrame) -> DataFrame:
-    """Spans that no list allows. spans must have a key of its own in its columns."""
-    return spans.exceptAll(_allowed(spans, allow))
+    """Spans that no list allows, repeats included."""
+    return _joined(spans, allow, "left_anti")
 
 
 def tenants_of_keys(requests: DataFrame, keys: DataFrame, fallback: str) -> DataFrame:

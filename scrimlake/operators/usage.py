@@ -70,12 +70,26 @@ def rolling(df: DataFrame, partition: str, order: str, value: str, size: int = 1
     return df.select(partition, order, F.round(F.avg(value).over(w), 6).alias("rolling_avg"), F.max(value).over(w).alias("rolling_max"), F.count(value).over(w).alias("n"))
 
 
-def percentiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """min, max, avg, p50 (mean of two), and p95, p99 as the element int(n * q) from 0, found by rank."""
-    w = Window.partitionBy(key).orderBy(value, "event_id")
-    ranked = df.select(key, value, (F.row_number().over(w) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
-    at = lambda q: F.max(F.when(F.col("r") == F.floor(F.col("n") * q).cast("long"), F.col(value)))
-    return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("avg"), F.round(F.median(value), 6).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+def percentiles(df: DataFrame, key: str, value: str, buckets: int = 64) -> DataFrame:
+    """min, max, avg, p50 (mean of two), and p95, p99 as the element int(n * q) from 0 of the values in order.
+
+    Values are counted first. Distinct values are then ranked within `buckets` ranges of a key's values, each after the
+    counts of the ranges before it, so that no task sorts all values of a key. Null values don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("m"))
+    whole = counts.groupBy(F.col(key).alias("_k")).agg(F.sum("m").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.sum(F.col(value) * F.col("m")) / F.sum("m"), 6).alias("avg"))
+    placed = counts.join(whole, F.col(key).eqNullSafe(F.col("_k")))
+    share = (F.col(value) - F.col("min")) / (F.col("max") - F.col("min"))
+    placed = placed.withColumn("b", F.when(F.col("max") > F.col("min"), F.floor(share * (buckets - 1))).otherwise(0))
+    ranges = placed.groupBy("_k", "b").agg(F.sum("m").alias("of"))
+    ranges = ranges.select(F.col("_k").alias("_k2"), F.col("b").alias("b2"), (F.sum("of").over(Window.partitionBy("_k").orderBy("b")) - F.col("of")).alias("before"))
+    ranked = placed.join(ranges, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("b") == F.col("b2")))
+    ranked = ranked.withColumn("end", F.col("before") + F.sum("m").over(Window.partitionBy("_k", "b").orderBy(value)))
+    holds = lambda at: (F.col("end") - F.col("m") <= at) & (at < F.col("end"))
+    at = lambda r: F.max(F.when(holds(r), F.col(value)))
+    of = lambda q: F.floor(F.col("n") * q).cast("long")
+    found = ranked.groupBy("_k", "n", "min", "max", "avg").agg(F.round((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, 6).alias("p50"), at(of(0.95)).alias("p95"), at(of(0.99)).alias("p99"))
+    return found.select(F.col("_k").alias(key), "n", "min", "max", "avg", "p50", "p95", "p99")
 
 
 def histogram(df: DataFrame, key: str, value: str, bounds: tuple[float, ...]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.functions.values import EMAIL, SECRETS
 from scrimlake.operators import anonymize as A
-from scrimlake.operators import audit, chat, govern, secrets, spans, usage
+from scrimlake.operators import audit, chat, entropy, govern, secrets, spans, usage
 from scrimlake.sources import audit_log, lists
 from scrimlake.streaming import rehydrate
 
@@ -120,12 +120,20 @@ def cn_id_checksum(spark, sf_dir):
 
 # ---- secrets
 
-#: Patterns that SQL's regular expressions can hold (no look-behind or back reference).
-_SAFE = tuple(p for p in SECRETS if "(?<" not in p[3] and r"\1" not in p[3])
+#: What SQL's regular expressions, which have no look-behind and no back reference, have instead: pattern and what precedes the match.
+_WITHOUT_LOOKS = {
+    "Google Cloud API Key": (r""""AIza[A-Za-z0-9_-]{35}"|'AIza[A-Za-z0-9_-]{35}'""", 0),
+    "Mailgun API Key": (r"key-[a-zA-Z0-9]{32}", 4),
+}
 
 
 def _secret_sql() -> str:
-    return " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, '{k}' AS secret_type, '{r}' AS risk, start, \"end\" FROM ({spans_sql(rx, k, 1.0)})" for n, k, r, rx in _SAFE)
+    """rank, doc_id, name, secret_type, risk, start, end, value of every match, of equal (start, end, type) the first."""
+    parts = []
+    for rank, (name, kind, risk, rx) in enumerate(SECRETS):
+        rx, skip = _WITHOUT_LOOKS.get(name, (rx, 0))
+        parts.append(f"SELECT {rank} AS rank, doc_id, '{name}' AS name, '{kind}' AS secret_type, '{risk}' AS risk, (start + {skip})::INT AS start, \"end\", substr(value, {skip + 1}) AS value FROM ({spans_sql(rx, kind, 1.0, f'length(v) - {skip} <= 1000')})")
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) QUALIFY row_number() OVER (PARTITION BY doc_id, start, \"end\", secret_type ORDER BY rank) = 1"
 
 
 def _with_keys(spark, sf_dir):
@@ -138,23 +146,36 @@ def _with_keys(spark, sf_dir):
 _KEYS = "(SELECT doc_id, text FROM documents UNION ALL SELECT o_orderkey + 1099511627776, 'password = p' || o_orderkey || ' and AKIA' || upper(left(md5(o_orderkey::VARCHAR), 16)) || chr(10) || 'redis://h/' || o_orderkey FROM orders)"
 
 
-@query(_secret_sql().replace("FROM documents", f"FROM {_KEYS}"))
+_MATCHES = _secret_sql().replace("FROM documents", f"FROM {_KEYS}")
+_PREVIEW = "CASE WHEN length(value) <= 8 THEN repeat('*', length(value)) ELSE left(value, 4) || '****' || right(value, 4) END"
+
+
+@query(f'SELECT doc_id, name, secret_type, risk, start, "end" FROM ({_MATCHES})')
 def secret_matches(spark, sf_dir):
-    return secrets.match_rows(_with_keys(spark, sf_dir), "doc_id", catalogue=_SAFE).drop("line", "preview")
+    return secrets.match_rows(_with_keys(spark, sf_dir), "doc_id").drop("line", "preview")
 
 
-@query()
+@query(f"SELECT doc_id, name, secret_type, risk, start, \"end\", (length(left(text, start)) - length(replace(left(text, start), chr(10), '')) + 1)::INT AS line, {_PREVIEW} AS preview FROM ({_MATCHES}) JOIN {_KEYS} USING (doc_id)")
 def secret_lines(spark, sf_dir):
     return secrets.match_rows(_with_keys(spark, sf_dir), "doc_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE m AS ({_MATCHES}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, rank, "end") AS r FROM m),
+    walk AS (SELECT *, TRUE AS kept, "end" AS reach FROM o WHERE r = 1 UNION ALL
+        SELECT o.*, o.start >= walk.reach, CASE WHEN o.start >= walk.reach THEN o."end" ELSE walk.reach END FROM walk JOIN o ON o.doc_id = walk.doc_id AND o.r = walk.r + 1),
+    p AS (SELECT doc_id, count(*)::INT AS n, bool_or(risk IN ('high', 'critical')) AS b FROM m GROUP BY doc_id),
+    k AS (SELECT doc_id, start, "end", name, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM walk WHERE kept),
+    j AS (SELECT doc_id, string_agg(substr(text, (before + 1)::BIGINT, (start - before)::BIGINT) || '[REDACTED:' || name || ']', '' ORDER BY start) AS head, max("end") AS last FROM k JOIN {_KEYS} USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0)::INT AS n_matches, coalesce(b, FALSE) AS should_block, sha256(CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END) AS sanitized_sha256
+    FROM {_KEYS} LEFT JOIN p USING (doc_id) LEFT JOIN j USING (doc_id)"""
+)
 def secret_sanitized(spark, sf_dir):
     out = secrets.with_secrets(_with_keys(spark, sf_dir))
     return out.select("doc_id", F.size("matches").alias("n_matches"), "should_block", F.sha2("sanitized", 256).alias("sanitized_sha256"))
 
 
-@query()
+@query(f"SELECT doc_id, string_agg(secret_type || ' x' || n, ', ' ORDER BY first_at, secret_type) AS reason FROM (SELECT doc_id, secret_type, count(*) AS n, min(start) AS first_at FROM ({_MATCHES}) GROUP BY ALL) GROUP BY doc_id")
 def secret_block_reason(spark, sf_dir):
     return secrets.block_reasons(_with_keys(spark, sf_dir), "doc_id")
 
@@ -169,12 +190,47 @@ def entropy_names(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select("n_nationkey", e.alias("entropy"), T.entropy_level(e).alias("level"))
 
 
-@query()
+def _entropy_sql(v: str) -> str:
+    share = f"(len(list_filter(string_split({v}, ''), lambda x: x = c)) / length({v}))"
+    return f"round(list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -{share} * log2({share}))), 3)"
+
+
+def _with_tokens(spark, sf_dir):
+    """documents, and texts with hashes, keys of mixed case, ids and dates made from orders."""
+    h = F.md5(F.col("o_orderkey").cast("string"))
+    text = F.concat(F.lit("id "), h, F.lit(" at 2024-01-02, key"), F.left(h, F.lit(12)), F.upper(F.right(h, F.lit(12))), F.lit("\n"), F.upper(F.left(h, F.lit(8))), F.lit("-1234-1234-1234-"), F.left(h, F.lit(12)), F.lit(" 12345678901234567890 again "), h)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.unionByName(_table(spark, sf_dir, "orders").select((F.col("o_orderkey") + (1 << 40)).alias("doc_id"), text.alias("text")))
+
+
+_HASHED = "(SELECT doc_id, text FROM documents UNION ALL SELECT o_orderkey + 1099511627776, 'id ' || h || ' at 2024-01-02, key' || left(h, 12) || upper(right(h, 12)) || chr(10) || upper(left(h, 8)) || '-1234-1234-1234-' || left(h, 12) || ' 12345678901234567890 again ' || h FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h FROM orders))"
+_TOKENS = rf"""(WITH t AS (SELECT doc_id, h[i] AS token, s::INT AS start FROM (
+        SELECT doc_id, h, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS s FROM (
+            SELECT doc_id, h, g, unnest(list_filter(range(1, len(h) + 1), lambda k: length(h[k]) >= 16)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS h, string_split_regex(text, '\S+') AS g FROM {_HASHED})))),
+    f AS (SELECT *, {' OR '.join(f"regexp_matches(token, '{rx}')" for rx in entropy.FALSE_POSITIVES)} AS benign,
+        regexp_matches(token, '{entropy.BASE64}') OR regexp_matches(token, '{entropy.LONG_HEX}') OR (length(token) >= 20 AND regexp_matches(token, '\p{{Ll}}') AND regexp_matches(token, '\p{{Lu}}') AND regexp_matches(token, '\p{{Nd}}')) AS shaped
+        FROM t WHERE NOT regexp_matches(token, '^(\p{{Nd}}+|[\p{{Ll}}\p{{Lo}}]+|[\p{{Lu}}\p{{Lo}}]+)$')),
+    e AS (SELECT *, CASE WHEN benign THEN 0.0 ELSE {_entropy_sql("token")} END AS bits FROM f)
+    SELECT doc_id, token, start, bits AS entropy, CASE WHEN bits >= 5 THEN 'critical' WHEN bits >= 4.5 THEN 'high' ELSE 'medium' END AS level, shaped FROM e WHERE bits >= 4.5 OR (bits >= 3.5 AND shaped))"""
+_REASON = "CASE level WHEN 'critical' THEN 'Critical entropy - likely cryptographic material' WHEN 'high' THEN 'High entropy - possible secret' ELSE 'Medium entropy - suspicious' END || CASE WHEN shaped THEN '; Token-like format detected' ELSE '' END"
+
+
+@query(f"SELECT doc_id, start, token, entropy::DOUBLE AS entropy, level, {_REASON} AS reason FROM {_TOKENS}")
 def entropy_tokens(spark, sf_dir):
-    """Long tokens of documents whose entropy is high."""
-    token = F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/=_-]{16,}"), F.lit(0)), lambda t: ~t.rlike("^([0-9]+|[a-z]+|[A-Z]+)$"))))
-    found = _table(spark, sf_dir, "documents").select("doc_id", token.alias("token"))
-    return found.select("doc_id", T.preview(F.col("token")).alias("preview"), F.round(T.entropy(F.col("token")), 3).alias("entropy")).withColumn("level", T.entropy_level(F.col("entropy")))
+    """The suspicious tokens of documents, and why they are."""
+    return entropy.suspicious_tokens(_with_tokens(spark, sf_dir), "doc_id").select("doc_id", "start", "token", "entropy", "level", "reason")
+
+
+@query(f"SELECT doc_id, count(t.token)::INT AS n_found, coalesce(CASE max(CASE level WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 END) WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' END, 'none') AS overall_risk FROM {_HASHED} LEFT JOIN {_TOKENS} t USING (doc_id) GROUP BY doc_id")
+def entropy_report(spark, sf_dir):
+    """How many suspicious tokens every document has, and its risk."""
+    return entropy.report(_with_tokens(spark, sf_dir), "doc_id")
+
+
+@query(f"SELECT doc_id, 'HIGH_ENTROPY_SECRET' AS entity_type, start, (start + length(token))::INT AS \"end\", CASE level WHEN 'critical' THEN 0.99 WHEN 'high' THEN 0.85 ELSE 0.7 END::DOUBLE AS score, token AS value FROM {_TOKENS}")
+def entropy_spans(spark, sf_dir):
+    """Suspicious tokens as spans, every occurrence at its place."""
+    return entropy.spans(_with_tokens(spark, sf_dir), "doc_id")
 
 
 @query("SELECT conv_id, turn, (ends OR asks) AS is_question, CASE WHEN t = '' THEN 0.0 WHEN ends THEN 0.9 WHEN asks THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence FROM (SELECT conv_id, turn, trim(text) AS t, trim(text) LIKE '%?' AS ends, regexp_matches(trim(text), '(?i)^[\\s]*(who|what|where|when|why|how|which|whose|whom|is|are|do|does|can|could|would|should|will)\\b') OR regexp_matches(text, '(?i)tell me|describe|explain|introduce|do you know|have you heard') AS asks FROM conversations)")
@@ -221,7 +277,8 @@ def anonymize_mask(spark, sf_dir):
 
 @query(f"{_TYPED} SELECT doc_id, ptype, count(*) AS n, count(DISTINCT canon) AS n_values FROM n GROUP BY ALL")
 def pii_counts_by_type(spark, sf_dir):
-    found = _anon(spark, sf_dir).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    # posexplode_outer, as for explode Spark infers a filter that repeats all of the detection
+    found = _anon(spark, sf_dir).select("doc_id", F.posexplode_outer("entities").alias("i", "e")).where("i is not null").select("doc_id", "e.*")
     return found.groupBy("doc_id", "ptype").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(T.canonical(F.col("value"), F.col("entity_type"))).alias("n_values"))
 
 
@@ -234,7 +291,11 @@ def anonymize_mixed(spark, sf_dir):
     return _anon(spark, sf_dir).select("doc_id", "anon_text", F.size("entities").cast("long").alias("n_entities"))
 
 
-@query()
+_MOD = "(('0x' || md5('42:' || {v}))::UHUGEINT % {n})::BIGINT"
+
+
+@query(f"""{_TYPED} SELECT doc_id, ptype, start, CASE ptype WHEN 'PHONE' THEN left(regexp_replace(value, '[^0-9]', '', 'g'), 3) || lpad({_MOD.format(v="value", n=100000000)}::VARCHAR, 8, '0')
+    WHEN 'EMAIL' THEN 'user' || {_MOD.format(v="lower(value)", n=1000000)} || '@example.com' ELSE '[REDACTED]' END AS new FROM n""")
 def anonymize_synthetic(spark, sf_dir):
     return _anon(spark, sf_dir, "synthetic").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.start", "e.new")
 
@@ -257,7 +318,10 @@ def _sessions(spark, sf_dir):
     return A.anonymize_sessions(_chat(spark, sf_dir), "conv_id", "turn", patterns=(spans.MAIL, spans.IPV4), skip=F.col("role") == "system")
 
 
-@query()
+_SESSION_IPS = "(SELECT conv_id, x, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS k FROM (SELECT conv_id, turn % 250 AS x, min(turn) AS t FROM conversations WHERE role = 'user' GROUP BY ALL))"
+
+
+@query(f"SELECT c.conv_id, turn, CASE WHEN role = 'user' THEN text || ' Mail <EMAIL_1>, host <IP_' || k || '>.' ELSE text END AS anon_text FROM conversations c LEFT JOIN {_SESSION_IPS} i ON i.conv_id = c.conv_id AND i.x = c.turn % 250".replace(">.'", ">'"))
 def anonymize_conversation(spark, sf_dir):
     return _sessions(spark, sf_dir)[0].select("conv_id", "turn", "anon_text")
 
@@ -270,7 +334,7 @@ def mapping_relation(spark, sf_dir):
     return _sessions(spark, sf_dir)[1]
 
 
-@query()
+@query("SELECT conv_id, turn, text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 ELSE '' END AS restored, CASE WHEN role = 'user' THEN 2 ELSE 0 END::INT AS n_restored, 0::INT AS n_unresolved FROM conversations")
 def deanonymize_sessions(spark, sf_dir):
     rows, mapping = _sessions(spark, sf_dir)
     out = A.restore(rows.select("conv_id", "turn", "anon_text"), mapping, "conv_id", "turn", "anon_text")
@@ -313,7 +377,17 @@ def chunk_preserving_placeholders(spark, sf_dir):
     return cut.select("conv_id", "turn", (F.array_join("c", "") == F.col("anon_text")).alias("whole"), F.forall("c", lambda x: F.length(x) <= 200).alias("short"))
 
 
-@query()
+_near = "substr(t, greatest(start - 50, 0) + 1, \"end\" - greatest(start - 50, 0) + 50)"
+_any = lambda of, patterns: "(" + " OR ".join(f"regexp_matches({of}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
+_CONTACTS = "(SELECT conv_id, turn, text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 ELSE '' END AS t FROM conversations)"
+
+
+@query(
+    f"""WITH c AS {_CONTACTS}, b AS (SELECT c.*, (length(text) + 6)::INT AS m FROM c JOIN conversations USING (conv_id, turn) WHERE role = 'user'),
+    s AS (SELECT conv_id, turn, t, m AS start, regexp_extract(substr(t, m + 1), '^[^,]*') AS value FROM b UNION ALL SELECT conv_id, turn, t, m + strpos(substr(t, m + 1), ', host ') + 6, regexp_extract(t, '10[.]0[.][0-9]+[.][0-9]+$') FROM b),
+    e AS (SELECT *, start + length(value) AS "end", {_any("trim(t)", T.INTENT)} AS sure FROM s)
+    SELECT conv_id, turn, start::INT AS start, value, sure OR {_any(_near, chat.ASKED)} AS is_question, CASE WHEN sure THEN 0.95 WHEN {_any(_near, chat.ASKED)} THEN 0.85 WHEN {_any(_near, chat.STATED)} THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM e"""
+)
 def entity_intent_context(spark, sf_dir):
     turns = _chat(spark, sf_dir)
     found = turns.select("conv_id", "turn", "text", F.explode(spans.resolve(spans.detect(F.col("text"), (spans.MAIL, spans.IPV4)))).alias("s"))
@@ -380,9 +454,9 @@ def audit_recent_topk(spark, sf_dir):
     return audit.recent(events, F.lit(last), 24, 25)
 
 
-@query(f"SELECT event_id::VARCHAR AS event_id, event_type, tenant_id, user_id, request_id, coalesce(entity_count::VARCHAR, '') AS entity_count, risk_level, endpoint FROM {_EVENTS}")
+@query(f"SELECT event_id::VARCHAR AS event_id, event_type, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(timestamp, '%f'), '0') END AS timestamp, tenant_id, user_id, request_id, coalesce(entity_count::VARCHAR, '') AS entity_count, risk_level, endpoint FROM {_EVENTS}")
 def audit_export_csv(spark, sf_dir):
-    return audit.csv_rows(_events(spark, sf_dir).drop("timestamp"))
+    return audit.csv_rows(_events(spark, sf_dir))
 
 
 @query(f"""SELECT '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","risk_level":"' || risk_level || '"}}' AS json FROM {_EVENTS}""")
@@ -434,9 +508,14 @@ def rate_limit_fixed(spark, sf_dir):
     return usage.fixed_window(_tenant_events(spark, sf_dir), "tenant_id", 2)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+b AS (SELECT user_id, event_id, t, r, TRUE AS admitted, 4.0::DOUBLE AS left_ FROM e WHERE r = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.t, e.r, least(5.0, left_ + greatest(0.0, e.t - b.t) * 0.00001) >= 1, least(5.0, left_ + greatest(0.0, e.t - b.t) * 0.00001) - CASE WHEN least(5.0, left_ + greatest(0.0, e.t - b.t) * 0.00001) >= 1 THEN 1 ELSE 0 END
+    FROM b JOIN e ON e.user_id = b.user_id AND e.r = b.r + 1)
+SELECT user_id, event_id, admitted, round(left_, 6) AS tokens_left FROM b""")
 def token_bucket(spark, sf_dir):
-    return usage.token_bucket(_tenant_events(spark, sf_dir), "tenant_id", 0.001, 5.0)
+    """A bucket for each user, the finest key at hand, as a bucket's events are folded in order by one task."""
+    return usage.token_bucket(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), "user_id", 0.00001, 5.0)
 
 
 @query("SELECT user_id % 5 AS tenant_id, event_id, round(avg(value) OVER w, 6) AS rolling_avg, max(value) OVER w AS rolling_max, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")

@@ -18,10 +18,11 @@ def read(spark: SparkSession, path: str, kind: str = "json", start: datetime | N
     """The events, without lines that don't parse; a time range also names its days, so that only their files are read."""
     reader = spark.read.schema(SCHEMA + ", event_date date").format(kind)
     df = (reader.option("mode", "DROPMALFORMED") if kind == "json" else reader).load(path)
-    if start:
-        df = df.where((F.col("event_date") >= F.lit(start.date())) & (F.col("timestamp") >= F.lit(start)))
-    if end:
-        df = df.where((F.col("event_date") <= F.lit(end.date())) & (F.col("timestamp") <= F.lit(end)))
+    # Spark turns the bounds into days as it did the events' times, so both are days of the session's zone
+    if start is not None:
+        df = df.where((F.col("event_date") >= F.to_date(F.lit(start))) & (F.col("timestamp") >= F.lit(start)))
+    if end is not None:
+        df = df.where((F.col("event_date") <= F.to_date(F.lit(end))) & (F.col("timestamp") <= F.lit(end)))
     return df.drop("event_date")
 
 

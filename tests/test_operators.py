@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.operators import anonymize as A
 from scrimlake.operators import audit, govern, secrets, spans, usage
-from scrimlake.plans import catalog
+from scrimlake.plans import catalog, relations  # noqa: F401 - registers its queries
 from scrimlake.sources import audit_log, lists
 from scrimlake.streaming import rehydrate
 
@@ -38,7 +38,8 @@ def test_query_gives_its_sql_rows(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    rows = catalog.QUERIES[name](spark, SF)
+    assert rows.count() > 0 and len(rows.columns) > 1
 
 
 @pytest.mark.parametrize("name", ["detect_email", "overlap_resolved_spans", "anonymize_mixed", "secret_sanitized", "pii_counts_by_type", "audit_summary"])
@@ -137,3 +138,35 @@ def test_any_chunking_restores_the_same():
             cut = rehydrate.safe_part(buffer)
             out, buffer = out + rehydrate.restore(buffer[:cut], originals), buffer[cut:]
         assert out + rehydrate.restore(buffer, originals) == "Hi 张三, a < b > c a@b.de张三 <PERS"
+
+
+def test_allowlists_keep_repeated_rows(spark):
+    from scrimlake.operators import govern
+
+    rows = spark.createDataFrame([("ORG", "Acme")] * 2 + [("ORG", "acme"), ("ORG", None), ("PERSON", "Bo")] * 2, "entity_type string, value string")
+    allow = spark.createDataFrame([("ORG", "Acme", True, True), ("ORG", "Acme", True, True), ("*", "bo", False, False)], "entity_type string, entry string, enabled boolean, case_sensitive boolean")
+    assert [tuple(r) for r in govern.exempt(rows, allow).collect()] == [("ORG", "Acme")] * 2
+    assert sorted((tuple(r) for r in govern.not_exempt(rows, allow).collect()), key=str) == sorted([("ORG", "acme"), ("ORG", None), ("PERSON", "Bo")] * 2, key=str)
+
+
+def test_percentiles_of_few_and_null_values(spark):
+    from scrimlake.operators import usage
+
+    rows = [("a", float(v)) for v in (3, 1, 2, 2)] + [("a", None), (None, 5.0)]
+    found = {r["k"]: tuple(r)[1:] for r in usage.percentiles(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert found == {"a": (4, 1.0, 3.0, 2.0, 2.0, 3.0, 3.0), None: (1, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0)}
+
+
+def test_detection_isn_t_repeated(spark):
+    plan = catalog.QUERIES["pii_counts_by_type"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 8
+
+
+def test_fuzzy_tokens_in_texts(spark):
+    from scrimlake.operators import anonymize
+
+    texts = ["see <person_1>, [PERSON_1] and {{PERSON_1}}.", "<PERSON_1 <PERSON_9> (x 1) <PERSON:1>", "none"]
+    rows = spark.createDataFrame([("s", k, t) for k, t in enumerate(texts)], "s string, n int, t string")
+    mapping = spark.createDataFrame([("s", "<PERSON_1>", "Bo")], "s string, placeholder string, original string")
+    found = [r["restored"] for r in anonymize.restore_fuzzy(rows, mapping, "s", "n", "t").orderBy("n").collect()]
+    assert found == ["see Bo, Bo and Bo.", "<PERSON_1 <PERSON_9> (x 1) Bo", "none"]
