@@ -68,12 +68,3 @@ class Scratch:
 def no_clash(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns of the caller can't clash with the operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-#: Rows up to which sent_whole() broadcasts: some tens of MB of a few fixed-width columns.
-BROADCAST_ROWS = 1_000_000
-
-
-def sent_whole(df: DataFrame, rows: int) -> DataFrame:
-    """df to join with, broadcast only if its counted rows are few; the join is the same without."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

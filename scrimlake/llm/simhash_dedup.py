@@ -6,6 +6,10 @@ of its own; of two segments that differ in one bit, the one where the bit is 0 l
 match is verified on all 64 bits. A segment shared by more than `hot_bucket` fingerprints isn't paired:
 its members enumerate balls around the other segment instead and are linked through shared centres,
 which finds the same components with a fixed number of rows for each member.
+
+That is whole for 3 bits, and copies of a five-word similarity of 0.8 differ in about ten. For a wider radius fingerprints
+therefore also meet by their texts' `sketch` least shingle hashes: each is held against the least fingerprint that has
+the shingle too, and linked if all 64 bits differ within the radius.
 """
 
 from collections.abc import Iterator
@@ -55,14 +59,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         lists = batch.column("h")
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(majority_bits(flat, lengths).view(np.int64))], names=["id", "tk", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), batch.column("s"), pa.array(majority_bits(flat, lengths).view(np.int64))], names=["id", "tk", "s", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, tk, fp): tk is a hash of the text, fp the SimHash of its lower-cased word shingles as a signed long; null or blank text gives 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketch: int = 0) -> DataFrame:
+    """(id, tk, s, fp): tk is a hash of the text, s the `sketch` least shingle hashes, null if that is 0, fp the SimHash of its lower-cased word shingles as a signed long; null or blank text gives 0."""
     rows = no_clash(docs, id_col, text_col)
     w = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("tk"), words(ascii_lower(F.col(f"`{text_col}`"))).alias("w"))
-    return w.select("id", "tk", shingle_hashes(F.col("w"), shingle).alias("h")).mapInArrow(_fingerprint_batches, "id long, tk long, fp long")
+    h = w.select("id", "tk", shingle_hashes(F.col("w"), shingle).alias("h"))
+    least = F.slice(F.sort_array(F.array_distinct("h")), 1, sketch) if sketch else F.lit(None).cast("array<bigint>")
+    return h.select("id", "tk", "h", least.alias("s")).mapInArrow(_fingerprint_batches, "id long, tk long, s array<long>, fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -103,11 +109,22 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
     return pairs.unionByName(through.select(F.col("fp").alias("a"), F.col("m").alias("b")))
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256) -> DataFrame:
+def sketch_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) between fingerprints (columns fp, s) and the least one that shares a hash of s, within the radius."""
+    meets = rows.select("fp", F.explode("s").alias("k")).distinct()
+    least = meets.groupBy("k").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("k", "b")
+    pairs = meets.join(least, "k").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius))
+    return pairs.select(F.col("fp").alias("a"), "b")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256, radius: int = RADIUS, sketch: int = 0) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle), "rows")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle, sketch), "rows")
     nodes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    edges = scratch.save(hamming_links(nodes.select("fp"), scratch, hot_bucket).distinct(), "edges")
+    edges = hamming_links(nodes.select("fp"), scratch, hot_bucket)
+    if sketch:
+        edges = edges.unionByName(sketch_links(rows, radius))
+    edges = scratch.save(edges.distinct(), "edges")
     roots = connected_components(edges, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -126,14 +143,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components(docs, id_col, text_col, shingle, hot_bucket).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, sketch: int = 0) -> DataFrame:
     """The rows of docs that name their component: one document of each near-duplicate group, the smallest id.
 
     A row goes if its text's group has a smaller id. Rows that repeat the smallest id stay if their texts are in the group;
     of rows with one id and unlike texts each is judged by its own group; rows with a null id stay. Null, empty and
-    blank texts are one group. Extra columns are carried; an empty table gives no rows.
+    blank texts are one group. With a sketch, texts within the radius that share one of its shingles are linked too. Extra columns are carried; an empty table gives no rows.
     """
-    found = _components(docs, id_col, text_col, shingle)
+    found = _components(docs, id_col, text_col, shingle, radius=radius, sketch=sketch)
     gone = found.where(F.col("id") != F.col("component_id")).select("id", "tk").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("at"), F.xxhash64(f"`{text_col}`").alias("of"))
     return rows.join(gone, (F.col("at") == F.col("id")) & (F.col("of") == F.col("tk")), "left_anti").select("row.*")

@@ -178,6 +178,23 @@ def test_keep_one_judges_each_text(spark):
     assert kept == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
 
 
+def test_keep_one_finds_near_copies(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9)))
+    texts, near = [], 0
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for _ in range(60):
+        w = [word() for _ in range(r.randint(80, 400))]
+        copy = list(w)
+        for k in r.sample(range(len(w)), max(1, len(w) // 100)):
+            copy[k] = word()
+        texts += [w, copy]
+        near += len(grams(w) & grams(copy)) >= 0.8 * len(grams(w) | grams(copy))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    kept = {x["doc_id"] for x in simhash_dedup.keep_one(docs, shingle=5, radius=10, sketch=8).collect()}
+    assert kept >= set(range(0, 120, 2)) and near > 50 and 120 - len(kept) >= 0.9 * near
+
+
 def test_majority_bits_of_long_groups():
     r = np.random.default_rng(1)
     groups = [r.integers(0, 1 << 63, n, np.uint64) for n in (1, 0, 2, 254, 255, 256, 1000)]
@@ -470,17 +487,55 @@ def test_licenses(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
+    """Every stage on what the one before it gave, against what it is to do by definition."""
+    from tokenizers import Tokenizer
+
     rows = corpus(7, 40)
     rows = [(k, t, "en", "s", len(t)) for k, t in rows] + [(90, None, None, None, None), (91, rows[0][1], "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([(1, rows[4][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    seen = [docs.count()]
+    item = max((t for _, t, *_ in rows if t), key=len).split("\n")[0]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        texts.append({r["doc_id"]: r["text"] for r in docs.collect()})
         docs = stage(spark, docs, str(tmp_path))
         docs.write.parquet(str(tmp_path / f"out{k}"))
         docs = spark.read.parquet(str(tmp_path / f"out{k}"))
-        if k < 4:
-            assert docs.columns == list(corpus_pipeline.COLUMNS)
-            seen.append(docs.count())
-    assert seen == sorted(seen, reverse=True) and seen[-1] > 10 and docs.agg({"length": "sum"}).first()[0] > 0
+        assert k == 4 or docs.columns == list(corpus_pipeline.COLUMNS)
+    raw, quality, lined, single, clean = texts
+
+    judged = {r["id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, docs_schema())).collect()}
+    for d, t in raw.items():
+        ws = words_of(t)
+        windows = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+        failed = len(ws) < 10 or 100 * len(covered) > 20 * len(ws)
+        assert not (failed and d in quality) and judged[d]["kept"] == (d in quality)
+    assert all(set(t.split("\n")) <= set(raw[d].split("\n")) for d, t in quality.items())
+
+    form = lambda x: " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in x.lower()).split())
+    places = [(d, i, x) for d in sorted(quality) for i, x in enumerate(quality[d].split("\n")) if x.strip()]
+    root = all_pairs_root([form(x) for _, _, x in places])
+    first = {g: min(k for k in range(len(root)) if root[k] == g) for g in set(root)}
+    kept = {}
+    for k, (d, i, x) in enumerate(places):
+        kept.setdefault(d, []).extend([x] * (first[root[k]] == k))
+    assert lined == {d: "\n".join(x) for d, x in kept.items() if x}
+
+    grams = lambda t: Counter(tuple(w[i : i + 5]) for w in [words_of(t.lower())] for i in range(max(1, len(w) - 4)))
+    like = lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    assert set(single) == {d for d in lined if not any(e < d and like(grams(lined[e]), grams(lined[d])) for e in lined)}
+
+    width = len(words_of(item))
+    leak = lambda t: any(decontamination.weighted_jaccard(list(grams(" ".join(words_of(t)[p : p + width])).elements()), list(grams(item).elements())) >= 0.8 for p in range(max(1, len(words_of(t)) - width + 1)))
+    assert set(clean) == {d for d, t in single.items() if not leak(t)} and len(clean) < len(single)
+
+    tokenizer, n = Tokenizer.from_file(BPE), Counter()
+    for r in docs.collect():
+        n[r["doc_id"]] += r["length"]
+    assert n == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in clean.items()}
+
+
+def docs_schema():
+    return "doc_id long, text string, lang string, source string, n_chars long"
