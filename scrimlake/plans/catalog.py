@@ -597,8 +597,12 @@ def keys_and_md5(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scrimlake-")
+    """A new folder under spark.checkpoint.dir, where all executors can write. Where that is unset a local session, as in tests, gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="scrimlake-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
