@@ -2,7 +2,10 @@
 
 import gzip
 import hashlib
+import math
 import random
+import re
+import textwrap
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -486,6 +489,71 @@ def test_licenses(spark):
     }
 
 
+def test_licenses_are_those_of_plain_cosines(spark):
+    """Headers, idf, cosines and the nearest folder by definition, in plain Python; wrapped and buried notices, ties, repeats."""
+    cue = re.compile(license_scan.CUE, re.ASCII)
+    named = re.compile(license_scan.LICENCE_NAME, re.ASCII)
+    one = lambda s: re.sub(r"\s+", " ", s, flags=re.ASCII).strip(" ")
+    rng = random.Random(3)
+    filler = ["the", "river", "of", "copyrights", "software", "is", "General", "Public", "stone", "under", "license", "version", "3"]
+    line = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    wordings = [w for _, w in license_scan.TEMPLATES]
+    wrapped = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0.\n" + line(9)
+    buried = f"{line(150)}. Licensed under the Apache License, Version 2.0. {line(150).capitalize()}."
+    rows = [("a/LICENSE", textwrap.fill(wordings[1], 60)), ("a/b/wrapped.py", wrapped), ("a/b/c/buried.txt", buried), ("a/b/c/d/plain.txt", "nothing"), ("a/tie", "license license"), ("a/x", None), (None, wordings[0])]
+    rows += [("e/COPYING", textwrap.fill(wordings[12], 70)), ("e/f/g.c", ""), ("e/f/g.c", ""), ("e/LICENSE.txt", wordings[2]), ("top.txt", wordings[5]), ("LICENSE", wordings[8])]
+    for k in range(60):
+        body = [rng.choice([line(rng.randint(0, 9)), rng.choice(wordings)[: rng.randint(10, 200)]]) for _ in range(rng.randint(0, 6))]
+        folder = "/".join(rng.choice("mnop") for _ in range(rng.randint(0, 4)))
+        rows.append((f"{folder}/{rng.choice(['LICENSE', 'file'])}{k}".lstrip("/"), "\n".join(body)))
+
+    def headers(path, text):
+        lines, out = text.split("\n"), set()
+        for i, x in enumerate(lines):
+            if cue.search(x):
+                near = one(" ".join(lines[max(0, i - 1) : i + 2]))
+                out |= {one(x), near} | {s for s in re.split(license_scan.SENTENCE_END, near) if cue.search(s)}
+        return (out | ({one(text)} if named.search(path or "") else set())) - {""}
+
+    def vector(text):
+        w = [x for x in re.split("[^a-z0-9]+", text.translate({c: c + 32 for c in range(65, 91)})) if x]
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    of = [(p, h) for p, t in rows if t is not None for h in headers(p, t)]
+    df = Counter(term for _, h in of for term in vector(h)) + Counter(term for w in wordings for term in vector(w))
+    total = len(of) + len(wordings)
+    weigh = lambda text: {k: n * (math.log((1 + total) / (1 + df[k])) + 1) for k, n in vector(text).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    marks, own = [(i, weigh(w)) for i, w in license_scan.TEMPLATES], {}
+    for path, header in of:
+        v = weigh(header)
+        for i, w in marks:
+            s = round(sum(x * w.get(k, 0) for k, x in v.items()) / (norm(v) * norm(w)), 6) if v else 0
+            if path is not None and s >= license_scan.THRESHOLD:
+                own[path] = min(own.get(path, (0, "~")), (-s, i))
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    granted = {}
+    for path, b in own.items():
+        if named.search(path):
+            granted[folder(path)] = min(granted.get(folder(path), (0, "~")), b)
+
+    def expected(path):
+        if path in own:
+            return own[path][1], "own", None, -own[path][0]
+        up = [g for g in granted if path is not None and (g in ("", folder(path)) or folder(path).startswith(g + "/"))]
+        g = max(up, key=len, default=None)
+        return (granted[g][1], "inherited", g, None) if up else (None, "none", None, None)
+
+    found = license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted(str(r["path"]) for r in found) == sorted(str(p) for p, _ in rows)
+    for r in found:
+        want = expected(r["path"])
+        assert (r["license"], r["origin"], r["from_folder"]) == want[:3], r
+        assert r["similarity"] is None if want[3] is None else abs(r["similarity"] - want[3]) < 2e-6
+    by = {r["path"]: r["license"] for r in found}
+    assert (by["a/LICENSE"], by["a/b/wrapped.py"], by["a/b/c/buried.txt"], by["a/b/c/d/plain.txt"], by["e/f/g.c"]) == ("MIT", "MPL-2.0", "Apache-2.0", "MIT", by["e/LICENSE.txt"])
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on what the one before it gave, against what it is to do by definition."""
     from tokenizers import Tokenizer
