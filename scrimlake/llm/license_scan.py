@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance down the directories.
 
-Headers of a file are its lines with a cue word, each of them also with the line before and after it, and the sentences
-with a cue among those three lines, so that wrapped notices and statements inside a paragraph count. A licence file, by
-its name, has its whole text as one more. Equal headers of a file count once. Headers are vectors of words and word
+Headers of a file are the sentences with a cue word of its lines, and those of a line with a cue together with the line
+before and after it, so that wrapped notices and statements inside a paragraph count. A licence file, by its name, has
+its whole text as one more. Equal headers of a file count once. Headers are vectors of words and word
 pairs; idf comes from the headers of all files and the wordings of the templates. Only terms that a wording has can add
 to a cosine, so headers are joined with the wordings' terms, whose number is fixed here, on the term. A file's license
 is that of the wording closest to one of its headers, if close enough. A file without one has the license of the nearest
@@ -106,8 +106,9 @@ def headers_of(files: DataFrame, licence_name: str = LICENCE_NAME) -> DataFrame:
     around = F.arrays_zip(F.concat(F.array(F.lit("")), F.slice(lines, 1, rest)), lines, F.concat(F.slice(lines, 2, rest), F.array(F.lit(""))))
 
     def of_line(z: Column) -> Column:
-        near = _one_line(F.concat_ws(" ", z["0"], z["1"], z["2"]))
-        return F.concat(F.array(_one_line(z["1"]), near), F.filter(F.split(near, SENTENCE_END), lambda x: x.rlike(CUE)))
+        near = F.concat_ws(" ", z["0"], z["1"], z["2"])
+        sentences = F.flatten(F.transform(F.array(z["1"], near), lambda x: F.split(_one_line(x), SENTENCE_END)))
+        return F.filter(sentences, lambda x: x.rlike(CUE))
 
     found = F.flatten(F.transform(F.filter(around, lambda z: z["1"].rlike(CUE)), of_line))
     whole = F.when(named, F.array(_one_line(F.col("text")))).otherwise(F.array().cast("array<string>"))
@@ -118,24 +119,25 @@ def headers_of(files: DataFrame, licence_name: str = LICENCE_NAME) -> DataFrame:
 def own_licenses(files: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, licence_name: str = LICENCE_NAME) -> DataFrame:
     """(path, license, similarity) of the files with a header close enough to a wording. files: path, text."""
     spark = files.sparkSession
-    lines = scratch.save(headers_of(files, licence_name), "lines")
-    headers = lines.groupBy("header").agg(F.count(F.lit(1)).alias("n"))  # equal headers are one, counted n times
-    vectors = scratch.save(_vectors(headers, "header", "header"), "vectors")
+    lines = scratch.save(headers_of(files, licence_name).withColumn("key", F.unhex(F.md5("header"))), "lines")
+    headers = scratch.save(lines.groupBy("key", "header").agg(F.count(F.lit(1)).alias("n")), "headers")  # equal headers are one, counted n times
+    vectors = scratch.save(_vectors(headers, "key", "header"), "vectors")
+    headers = headers.select("key", "n")
     templates = spark.createDataFrame([(k, *t) for k, t in enumerate(TEMPLATES)], "template int, license string, wording string")
     wording = _vectors(templates.select("template", "wording"), "template", "wording")
     total = headers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + len(TEMPLATES)
-    seen = vectors.join(headers, "header").groupBy("term").agg(F.sum("n").alias("n")).unionByName(wording.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    seen = vectors.join(headers, "key").groupBy("term").agg(F.sum("n").alias("n")).unionByName(wording.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     idf = seen.groupBy("term").agg(F.sum("n").alias("df")).select("term", (F.log((1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
     weigh = lambda v: v.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     h, t = weigh(vectors), weigh(wording)
     norm = lambda v, key: v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias(f"{key}_norm"))
     t = t.select("template", "term", F.col("x").alias("y")).join(norm(t, "template"), "template").join(templates.select("template", "license"), "template")
     t = F.broadcast(t)  # the wordings' terms, some 1500 rows
-    dots = h.join(t, "term").groupBy("header", "template", "license", "template_norm").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    close = dots.join(norm(h, "header"), "header").select("header", "license", F.round(F.col("dot") / (F.col("header_norm") * F.col("template_norm")), 6).alias("similarity"))
+    dots = h.join(t, "term").groupBy("key", "template", "license", "template_norm").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    close = dots.join(norm(h, "key"), "key").select("key", "license", F.round(F.col("dot") / (F.col("key_norm") * F.col("template_norm")), 6).alias("similarity"))
     close = close.where(F.col("similarity") >= threshold)
-    best = close.groupBy("header").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
-    found = lines.join(best, "header").groupBy("path").agg(F.min("b").alias("b"))
+    best = close.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    found = lines.join(best, "key").groupBy("path").agg(F.min("b").alias("b"))
     return found.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
 
 

@@ -512,7 +512,7 @@ def test_licenses_are_those_of_plain_cosines(spark):
         for i, x in enumerate(lines):
             if cue.search(x):
                 near = one(" ".join(lines[max(0, i - 1) : i + 2]))
-                out |= {one(x), near} | {s for s in re.split(license_scan.SENTENCE_END, near) if cue.search(s)}
+                out |= {s for part in (one(x), near) for s in re.split(license_scan.SENTENCE_END, part) if cue.search(s)}
         return (out | ({one(text)} if named.search(path or "") else set())) - {""}
 
     def vector(text):
