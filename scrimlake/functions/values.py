@@ -50,3 +50,12 @@ INTENT = (
     r"(tell me|describe|explain|introduce)",
     r"(do you know|have you heard)",
 )
+
+# fixed values: words that make a number near them more likely a phone
+PHONE_WORDS = ("电话", "手机", "手机号", "手机号码", "电话号码", "联系电话", "联系方式", "phone", "mobile", "tel", "telephone", "号码", "打电话", "call", "拨打")
+
+# fixed values: common surnames
+SURNAMES = tuple(
+    "王李张刘陈杨黄赵周吴徐孙马胡朱郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾萧田董潘袁蔡蒋余于杜叶程魏苏吕丁任沈"
+    "姚卢傅钟姜崔谭廖范汪陆金石戴贾韦夏邱方侯邹熊孟秦白江阎薛尹段雷黎史龙贺陶顾毛郝龚邵万钱严覃武戚莫孔向"
+)

@@ -65,6 +65,34 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
+def summary_counts(events: DataFrame) -> DataFrame:
+    """section, name, n: events by type and by risk, detected entities by their type, anonymising events by strategy."""
+    counted = events.groupBy("event_type", "risk_level", "entity_type", "strategy_used").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("entity_count"), F.lit(0)).cast("long").alias("entities"))
+    of = lambda section, name, n: F.struct(F.lit(section).alias("section"), F.col(name).alias("name"), F.col(n).alias("n"))
+    found, replaced = F.col("event_type") == "pii_detected", F.col("event_type") == "pii_anonymized"
+    each = F.array(of("by_type", "event_type", "events"), of("by_risk", "risk_level", "events"), F.when(found, of("by_entity", "entity_type", "entities")), F.when(replaced, of("by_strategy", "strategy_used", "events")))
+    return counted.select(F.explode(each).alias("e")).select("e.*").where("name is not null").groupBy("section", "name").agg(F.sum("n").alias("n"))
+
+
+def summary_maps(events: DataFrame) -> DataFrame:
+    """One row of four maps, each from a section's names to its counts; their size is that of the vocabularies."""
+    of = lambda section: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("name", "n"))))).alias(section)
+    return summary_counts(events).agg(*[of(s) for s in ("by_type", "by_risk", "by_entity", "by_strategy")])
+
+
+def log_name(day: Column, rotation: str = "daily") -> Column:
+    """The file that holds a day's events: by day, by calendar year and ISO week, or by month."""
+    names = {"daily": F.date_format(day, "yyyyMMdd"), "weekly": F.concat(F.date_format(day, "yyyy"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")), "monthly": F.date_format(day, "yyyyMM")}
+    return F.concat(F.lit("audit_"), names[rotation], F.lit(".jsonl"))
+
+
+def merged(events: DataFrame, ambient: DataFrame, key: str, *columns: str) -> DataFrame:
+    """events whose null columns are those of the ambient context with the same key, of which there is at most one."""
+    known = ambient.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
+    out = events.join(known, F.col(key) == F.col("_key"), "left")
+    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_key", *[f"_{c}" for c in columns])
+
+
 def summary_by(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("entity_count"), F.lit(0)).cast("long").alias("entities"))
 
@@ -88,8 +116,9 @@ CSV = ("event_id", "event_type", "timestamp", "tenant_id", "user_id", "request_i
 
 
 def csv_rows(events: DataFrame) -> DataFrame:
-    """CSV's columns that the events have, as strings; null is empty."""
-    return events.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in CSV if c in events.columns])
+    """CSV's columns as strings; null, a status of 0 and columns that the events lack are empty."""
+    shown = lambda c: F.nullif(F.col(c).cast("string"), F.lit("0")) if c == "status_code" else F.col(c).cast("string")
+    return events.select(*[(F.coalesce(shown(c), F.lit("")) if c in events.columns else F.lit("")).alias(c) for c in CSV])
 
 
 def json_rows(events: DataFrame, *columns: str) -> DataFrame:

@@ -23,6 +23,30 @@ def not_exempt(spans: DataFrame, allow: DataFrame) -> DataFrame:
     return _joined(spans, allow, "left_anti")
 
 
+def with_entries(allow: DataFrame, new: DataFrame) -> DataFrame:
+    """The lists with new entries, each once by list name and entry; of equal ones a new one counts."""
+    both = allow.join(new.select("name", "entry").distinct(), ["name", "entry"], "left_anti")
+    return both.unionByName(new.dropDuplicates(["name", "entry"]))
+
+
+def without_entries(allow: DataFrame, gone: DataFrame) -> DataFrame:
+    return allow.join(gone.select("name", "entry").distinct(), ["name", "entry"], "left_anti")
+
+
+def entries_page(allow: DataFrame, name: str, search: str = "", page: int = 1, size: int = 100) -> DataFrame:
+    """entry, total, has_more: a page of a list's entries in order, of those that contain the search in any case."""
+    found = allow.where(F.col("name") == name).select("entry").distinct()
+    found = found.where(F.contains(F.lower("entry"), F.lower(F.lit(search)))) if search else found
+    total = found.agg(F.count(F.lit(1))).scalar()
+    return found.orderBy("entry").offset((page - 1) * size).limit(size).withColumn("total", total).withColumn("has_more", F.col("total") > page * size)
+
+
+def list_stats(allow: DataFrame) -> DataFrame:
+    """One row: total_allowlists, enabled_allowlists, total_entries; a list counts an entry once."""
+    lists = allow.groupBy("name").agg(F.bool_or("enabled").alias("enabled"), F.count_distinct("entry").alias("n"))
+    return lists.agg(F.count(F.lit(1)).alias("total_allowlists"), F.count_if("enabled").alias("enabled_allowlists"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_entries"))
+
+
 def tenants_of_keys(requests: DataFrame, keys: DataFrame, fallback: str) -> DataFrame:
     """requests (api_key) with tenant_id: by the key's hash if active, else the key's own tenant part, else fallback."""
     known = keys.where("status = 'active'").select("key_hash", F.col("tenant_id").alias("_tenant"))

@@ -54,6 +54,20 @@ def match_rows(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tu
     return rows.select(id_col, "m.name", "m.secret_type", "m.risk", "m.start", "m.end", line.alias("line"), T.preview(F.col("m.value")).alias("preview"))
 
 
+def tallies(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tuple = SECRETS) -> DataFrame:
+    """id, total, critical, high and should_block of every text's matches."""
+    n = lambda risk: F.size(F.filter("matches", lambda m: m["risk"] == risk))
+    out = df.select(id_col, scan(F.col(text_col), catalogue).alias("matches"))
+    out = out.select(id_col, F.size("matches").alias("total"), n("critical").alias("critical"), n("high").alias("high"))
+    return out.withColumn("should_block", F.col("critical") + F.col("high") > 0)
+
+
+def scan_stats(tallied: DataFrame) -> DataFrame:
+    """One row: total_scans, total_blocks, total_matches of tallies()."""
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return tallied.agg(F.count(F.lit(1)).alias("total_scans"), F.count_if("should_block").alias("total_blocks"), whole(F.sum("total")).alias("total_matches"))
+
+
 def block_reasons(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tuple = SECRETS) -> DataFrame:
     """id, reason: how many matches of each type, by first occurrence, of rows with any."""
     rows = match_rows(df, id_col, text_col, catalogue).groupBy(id_col, "secret_type").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("at"))

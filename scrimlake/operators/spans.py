@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrimlake.functions import text as T
-from scrimlake.functions.values import EMAIL
+from scrimlake.functions.values import EMAIL, PHONE_WORDS, SURNAMES
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,value:string>"
 
@@ -61,6 +61,25 @@ def detect(text: Column, patterns: Sequence[Pattern] = DEFAULT, entities: Sequen
     return F.concat(F.array().cast(f"array<{SPAN}>"), *[pattern_spans(text, p) for p in asked])
 
 
+def _scored(s: Column, score: Column) -> Column:
+    return F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), score.cast("double").alias("score"), s["value"].alias("value"))
+
+
+def with_context(spans: Column, text: Column, entity_type: str = "PHONE_NUMBER", words: Sequence[str] = PHONE_WORDS, before: int = 30, boost: float = 0.35, least: float = 0.4) -> Column:
+    """Spans of a type score more, at least `least` and at most 1, if one of the words, in any case, begins within so many characters before them."""
+    listed = "(?iu)" + "|".join(words)
+    near = lambda s: F.substring(text, F.greatest(s["start"] - before, F.lit(0)) + 1, F.least(s["start"], F.lit(before)))
+    more = lambda s: F.least(F.greatest(F.round(s["score"] + boost, 6), F.lit(least)), F.lit(1.0))
+    return F.transform(spans, lambda s: F.when((s["entity_type"] == entity_type) & near(s).rlike(listed), _scored(s, more(s))).otherwise(s))
+
+
+def score_persons(spans: Column, base: float = 0.85, surname: float = 0.1, whole: float = 0.05, most: float = 0.95, lengths: tuple[int, int] = (2, 4)) -> Column:
+    """PERSON spans that any model found, scored by a common surname at their start and by a usual length; others stay."""
+    first = lambda s: F.when(F.left(s["value"], F.lit(1)).isin(*SURNAMES), F.least(F.lit(most), F.lit(base + surname))).otherwise(F.lit(base))
+    both = lambda s: F.when(F.length(s["value"]).between(*lengths), F.least(F.lit(most), first(s) + whole)).otherwise(first(s))
+    return F.transform(spans, lambda s: F.when(s["entity_type"] == "PERSON", _scored(s, F.round(both(s), 6))).otherwise(s))
+
+
 def resolve(spans: Column, threshold: float = 0.5, order: str = "leftmost") -> Column:
     """Disjoint spans of at least the threshold. leftmost: by start, then score, then length, each kept if it begins
     after the last kept; highest_score: by score first, each kept if it meets none kept."""

@@ -454,9 +454,9 @@ def audit_recent_topk(spark, sf_dir):
     return audit.recent(events, F.lit(last), 24, 25)
 
 
-@query(f"SELECT event_id::VARCHAR AS event_id, event_type, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(timestamp, '%f'), '0') END AS timestamp, tenant_id, user_id, request_id, coalesce(entity_count::VARCHAR, '') AS entity_count, risk_level, endpoint FROM {_EVENTS}")
+@query(f"SELECT event_id::VARCHAR AS event_id, event_type, strftime(timestamp, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN '' ELSE '.' || rtrim(strftime(timestamp, '%f'), '0') END AS timestamp, tenant_id, user_id, request_id, coalesce(entity_count::VARCHAR, '') AS entity_count, risk_level, endpoint, '' AS entity_type, '' AS strategy_used, '' AS source_ip, '' AS method, CASE WHEN event_id % 3 = 0 THEN '' ELSE (event_id % 3 * 200)::VARCHAR END AS status_code FROM {_EVENTS}")
 def audit_export_csv(spark, sf_dir):
-    return audit.csv_rows(_events(spark, sf_dir))
+    return audit.csv_rows(_events(spark, sf_dir).withColumn("status_code", F.col("event_id") % 3 * 200))
 
 
 @query(f"""SELECT '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","risk_level":"' || risk_level || '"}}' AS json FROM {_EVENTS}""")

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from scrimlake.functions import text as T
 from scrimlake.operators import anonymize as A
-from scrimlake.operators import chat, govern, spans, stores, usage
-from scrimlake.plans.catalog import _CHAT_TEXT, _MASK, _TYPED, _USAGE, _anon, _chat, _sessions, _table, _tenant_events, query
+from scrimlake.operators import audit, chat, govern, secrets, spans, stores, usage
+from scrimlake.plans.catalog import _CHAT_TEXT, _EVENTS, _KEYS, _MASK, _MATCHES, _TYPED, _USAGE, _anon, _chat, _events, _sessions, _table, _tenant_events, _with_keys, query
 
 # ---- restoration
 
@@ -145,3 +145,107 @@ def scalar_matrix(spark, sf_dir):
         "c_custkey", T.valid_postal_code(pick(4, "123456", "SW1A 1AA", "K1A 0B1", "12-34"), pick(4, "CN", "UK", "ca", "JP")).alias("postal"), T.valid_ip(pick(3, "2001:db8:0:0:0:0:0:1", " 10.0.0.1 ", "1.2.3.400")).alias("ip"),
         T.valid_ssn(F.concat(F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-12-3456"))).alias("ssn"), cleaned["ok"].alias("ok"), cleaned["text"].alias("told"), F.round(T.cjk_share(mixed), 6).alias("cjk"), T.is_chinese(mixed).alias("chinese"), T.normalize_spaces(F.concat(F.lit(" a\t b\n"), s, F.lit(" "))).alias("spaced"),
     )
+
+
+# ---- audit summaries, scan statistics, allowlist pages
+
+_KINDS_OF = "(SELECT *, CASE WHEN event_id % 7 > 0 THEN 'TYPE_' || event_id % 3 END AS entity_type, CASE WHEN event_id % 5 > 0 THEN 'way_' || event_id % 2 END AS strategy_used FROM {})"
+_SECTIONS = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, {name} AS name, {n} AS n FROM {_KINDS_OF.format(_EVENTS)} WHERE {test} AND {name} IS NOT NULL GROUP BY ALL"
+    for section, name, n, test in (("by_type", "event_type", "count(*)", "TRUE"), ("by_risk", "risk_level", "count(*)", "TRUE"), ("by_entity", "entity_type", "coalesce(sum(entity_count), 0)::BIGINT", "event_type = 'pii_detected'"), ("by_strategy", "strategy_used", "count(*)", "event_type = 'pii_anonymized'"))
+)
+
+
+def _detailed(spark, sf_dir):
+    k = F.col("event_id")
+    named = lambda stem, n: F.concat(F.lit(stem), (k % n).cast("string"))
+    return _events(spark, sf_dir).withColumn("entity_type", F.when(k % 7 > 0, named("TYPE_", 3))).withColumn("strategy_used", F.when(k % 5 > 0, named("way_", 2)))
+
+
+@query(_SECTIONS)
+def audit_summary_counts(spark, sf_dir):
+    return audit.summary_counts(_detailed(spark, sf_dir))
+
+
+@query(f"""SELECT max(j) FILTER (section = 'by_type') AS by_type, max(j) FILTER (section = 'by_risk') AS by_risk, max(j) FILTER (section = 'by_entity') AS by_entity, max(j) FILTER (section = 'by_strategy') AS by_strategy
+FROM (SELECT section, '{{' || string_agg('"' || name || '":' || n, ',' ORDER BY name) || '}}' AS j FROM ({_SECTIONS}) GROUP BY section)""")
+def audit_summary_maps(spark, sf_dir):
+    maps = audit.summary_maps(_detailed(spark, sf_dir))
+    return maps.select(*[F.to_json(c).alias(c) for c in maps.columns])
+
+
+@query(f"SELECT 'audit_' || strftime(timestamp, '%Y%m%d') || '.jsonl' AS daily, 'audit_' || strftime(timestamp, '%Y') || strftime(timestamp, '%V') || '.jsonl' AS weekly, 'audit_' || strftime(timestamp, '%Y%m') || '.jsonl' AS monthly, count(*) AS n FROM {_EVENTS} GROUP BY ALL")
+def audit_log_names(spark, sf_dir):
+    """How many events go to each file of the three rotations."""
+    return _events(spark, sf_dir).groupBy(*[audit.log_name(F.col("timestamp"), r).alias(r) for r in ("daily", "weekly", "monthly")]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN tenant_id END, 'home-' || user_id) AS tenant_id, coalesce(entity_count, length(user_id))::INT AS entity_count FROM {_EVENTS}")
+def audit_merged_context(spark, sf_dir):
+    """Events without a tenant or count take those of their user's context."""
+    rows = _events(spark, sf_dir)
+    ambient = rows.select("user_id").distinct().select("user_id", F.concat(F.lit("home-"), "user_id").alias("tenant_id"), F.length("user_id").alias("entity_count"))
+    bare = rows.select("event_id", "user_id", F.when(F.col("event_id") % 2 == 0, F.col("tenant_id")).alias("tenant_id"), "entity_count")
+    return audit.merged(bare, ambient, "user_id", "tenant_id", "entity_count").select("event_id", "tenant_id", "entity_count")
+
+
+_TALLIES = f"SELECT doc_id, count(risk)::INT AS total, count(*) FILTER (risk = 'critical')::INT AS critical, count(*) FILTER (risk = 'high')::INT AS high, count(*) FILTER (risk IN ('critical', 'high')) > 0 AS should_block FROM {_KEYS} LEFT JOIN ({_MATCHES}) m USING (doc_id) GROUP BY doc_id"
+
+
+@query(_TALLIES)
+def secret_tallies(spark, sf_dir):
+    return secrets.tallies(_with_keys(spark, sf_dir), "doc_id")
+
+
+@query(f"SELECT count(*) AS total_scans, count(*) FILTER (should_block) AS total_blocks, sum(total)::BIGINT AS total_matches FROM ({_TALLIES})")
+def secret_scan_stats(spark, sf_dir):
+    return secrets.scan_stats(secrets.tallies(_with_keys(spark, sf_dir), "doc_id"))
+
+
+_LISTS = "(SELECT 'list_' || c_nationkey AS name, lower(c_mktsegment) || '_' || c_custkey % 50 AS entry, c_nationkey % 4 > 0 AS enabled FROM customer)"
+
+
+def _lists(spark, sf_dir):
+    entry = F.concat(F.lower("c_mktsegment"), F.lit("_"), (F.col("c_custkey") % 50).cast("string"))
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("list_"), F.col("c_nationkey").cast("string")).alias("name"), entry.alias("entry"), (F.col("c_nationkey") % 4 > 0).alias("enabled"))
+
+
+@query(f"SELECT count(*) AS total_allowlists, count(*) FILTER (enabled) AS enabled_allowlists, sum(n)::BIGINT AS total_entries FROM (SELECT name, bool_or(enabled) AS enabled, count(DISTINCT entry) AS n FROM {_LISTS} GROUP BY name)")
+def allowlist_stats(spark, sf_dir):
+    return govern.list_stats(_lists(spark, sf_dir))
+
+
+@query(f"WITH e AS (SELECT DISTINCT entry FROM {_LISTS} WHERE name = 'list_3' AND entry LIKE '%build%') SELECT entry, (SELECT count(*) FROM e) AS total, (SELECT count(*) FROM e) > 8 AS has_more FROM e ORDER BY entry LIMIT 4 OFFSET 4")
+def allowlist_page(spark, sf_dir):
+    """The second page, of four entries, of a list's entries that hold a word."""
+    return govern.entries_page(_lists(spark, sf_dir), "list_3", "BUILD", page=2, size=4)
+
+
+@query(f"SELECT name, count(DISTINCT entry) AS n FROM {_LISTS} WHERE NOT entry LIKE 'machinery%' GROUP BY name")
+def allowlist_edited(spark, sf_dir):
+    """Entries by list, after those of odd names came to those of even ones and one segment's were removed."""
+    rows = _lists(spark, sf_dir).withColumn("_odd", F.substring("name", -1, 1).isin(*"13579"))
+    edited = govern.with_entries(rows.where("not _odd").drop("_odd").dropDuplicates(["name", "entry"]), rows.where("_odd").drop("_odd"))
+    return govern.without_entries(edited, rows.where("entry like 'machinery%'")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- scores by context and by name
+
+_PHONE = "'138' || lpad(c_custkey::VARCHAR, 8, '0')"
+
+
+@query(f"SELECT c_custkey, {_PHONE} AS value, CASE WHEN c_custkey % 4 < 2 THEN 1.0 ELSE 0.7 END::DOUBLE AS score FROM customer")
+def phone_context_scores(spark, sf_dir):
+    """Numbers score more behind a word for phones, unless it is too far away."""
+    lead = F.element_at(F.array(*[F.lit(x) for x in ("My Phone: ", "联系电话：", "order ", "phone" + " " * 40)]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    text = F.concat(lead, F.lit("138"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    found = spans.with_context(spans.resolve(spans.detect(text, spans.CN_PHONE[:1])), text)
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.explode(found).alias("s")).select("c_custkey", "s.value", "s.score")
+
+
+@query("SELECT c_custkey, value, CASE WHEN left(value, 1) IN ('王', '向') THEN 0.95 WHEN length(value) BETWEEN 2 AND 4 THEN 0.9 ELSE 0.85 END::DOUBLE AS score FROM (SELECT c_custkey, ['王', '向', '欧', 'L'][(c_custkey % 4 + 1)::BIGINT] || repeat('明', (c_custkey % 6)::BIGINT) AS value FROM customer)")
+def person_scores(spark, sf_dir):
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("王", "向", "欧", "L")]), (F.col("c_custkey") % 4 + 1).cast("int")), F.repeat(F.lit("明"), (F.col("c_custkey") % 6).cast("int")))
+    span = F.struct(F.lit("PERSON").alias("entity_type"), F.lit(0).alias("start"), F.length("value").alias("end"), F.lit(0.5).alias("score"), F.col("value").alias("value"))
+    found = spans.score_persons(F.array(span).cast(f"array<{spans.SPAN}>"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", name.alias("value")).select("c_custkey", "value", F.get(found, F.lit(0))["score"].alias("score"))

@@ -71,3 +71,31 @@ def sse_line(content: Column, chunk_id: Column, created: Column, model: Column)
     delta = F.struct(F.lit(0).alias("index"), F.struct(content.alias("content")).alias("delta"))
     body = F.struct(chunk_id.alias("id"), F.lit("chat.completion.chunk").alias("object"), created.alias("created"), model.alias("model"), F.array(delta).alias("choices"))
     return F.concat(F.lit("data: "), F.to_json(body), F.lit("\n\n"))
+
+
+def tenants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The tenants of a YAML file, and their keys as hashes. An unknown status is active; the file is one of configuration."""
+    import yaml
+
+    with open(path) as f:
+        rows = (yaml.safe_load(f) or {}).get("tenants") or []
+    status = lambda r: r["status"].lower() if str(r.get("status", "")).lower() in ("active", "inactive", "suspended") else "active"
+    known = [(r["tenant_id"], r["name"], status(r), r.get("rate_limit", "60/minute"), int(r.get("max_ttl", 300))) for r in rows]
+    out = spark.createDataFrame(known, "tenant_id string, name string, status string, rate_limit string, max_ttl int")
+    keys = spark.createDataFrame([(k, r["tenant_id"]) for r in rows for k in r.get("api_keys") or []], "api_key string, tenant_id string")
+    return out, keys.select(F.sha2("api_key", 256).alias("key_hash"), "tenant_id").join(out.select("tenant_id", "status"), "tenant_id")
+
+
+def quotas(spark: SparkSession, path: str) -> DataFrame:
+    """tenant_id, quota_type, period, quota, soft_percent of a YAML file; unknown periods and limits that are no numbers are left out."""
+    import yaml
+
+    with open(path) as f:
+        rows = (yaml.safe_load(f) or {}).get("quotas") or []
+    found = []
+    for r in rows:
+        for kind in ("requests", "tokens"):
+            for period, limit in (r.get(kind) or {}).items():
+                if period in ("hourly", "daily", "monthly") and str(limit).isdigit():
+                    found.append((r["tenant_id"], kind, period, int(limit), float(r.get("soft_limit_percent", 80))))
+    return spark.createDataFrame(found, "tenant_id string, quota_type string, period string, quota long, soft_percent double")

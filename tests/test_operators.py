@@ -170,3 +170,14 @@ def test_fuzzy_tokens_in_texts(spark):
     mapping = spark.createDataFrame([("s", "<PERSON_1>", "Bo")], "s string, placeholder string, original string")
     found = [r["restored"] for r in anonymize.restore_fuzzy(rows, mapping, "s", "n", "t").orderBy("n").collect()]
     assert found == ["see Bo, Bo and Bo.", "<PERSON_1 <PERSON_9> (x 1) Bo", "none"]
+
+
+def test_tenants_and_quotas_of_yaml(spark, tmp_path):
+    (tmp_path / "t.yaml").write_text("tenants:\n- {tenant_id: a, name: A, status: SUSPENDED, api_keys: [k1, k2], max_ttl: 600}\n- {tenant_id: b, name: B, status: odd}\n")
+    found, keys = lists.tenants(spark, str(tmp_path / "t.yaml"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "A", "suspended", "60/minute", 600), ("b", "B", "active", "60/minute", 300)]
+    assert sorted((r["tenant_id"], r["status"]) for r in keys.collect()) == [("a", "suspended")] * 2
+    (tmp_path / "q.yaml").write_text("quotas:\n- {tenant_id: a, soft_limit_percent: 50, requests: {daily: 10, yearly: 5}, tokens: {hourly: 7}}\n- {tenant_id: b}\n")
+    assert sorted(tuple(r) for r in lists.quotas(spark, str(tmp_path / "q.yaml")).collect()) == [("a", "requests", "daily", 10, 50.0), ("a", "tokens", "hourly", 7, 50.0)]
+    (tmp_path / "e.yaml").write_text("")
+    assert lists.quotas(spark, str(tmp_path / "e.yaml")).count() == 0 and lists.tenants(spark, str(tmp_path / "e.yaml"))[1].count() == 0
