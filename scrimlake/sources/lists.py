@@ -79,7 +79,7 @@ def tenants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     with open(path) as f:
         rows = (yaml.safe_load(f) or {}).get("tenants") or []
-    status = lambda r: r["status"].lower() if str(r.get("status", "")).lower() in ("active", "inactive", "suspended") else "active"
+    status = lambda r: r["status"].lower() if str(r.get("status", "")).lower() in ("active", "disabled", "suspended") else "active"
     known = [(r["tenant_id"], r["name"], status(r), r.get("rate_limit", "60/minute"), int(r.get("max_ttl", 300))) for r in rows]
     out = spark.createDataFrame(known, "tenant_id string, name string, status string, rate_limit string, max_ttl int")
     keys = spark.createDataFrame([(k, r["tenant_id"]) for r in rows for k in r.get("api_keys") or []], "api_key string, tenant_id string")
