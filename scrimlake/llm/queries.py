@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrimlake.llm import decontamination, html_extraction, license_scan, line_dedup, oracles, packing, quality_rules, simhash_dedup, substring_dedup, token_counts, warc_zip
+from scrimlake.llm import decontamination, html_extraction, license_scan, line_dedup, ngram_join, oracles, packing, prefix_trie, quality_rules, ranked_search, simhash_dedup, substring_dedup, token_counts, warc_zip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,22 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for every benchmark item."""
+    found = ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the component of those that are alike."""
+    return ngram_join.similar_sets(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations' common starts, with the totals of its subtree."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_ngram_join": op12_ngram_join,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -89,4 +108,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.REPEATS,
     "op5_html_extraction": oracles.ARTICLES,
     "op6_warc_zip": oracles.RECORDS,
+    "op11_ranked_search": oracles.RANKED,
+    "op12_ngram_join": oracles.SIMILAR,
+    "op13_prefix_trie": oracles.TRIE,
 }
