@@ -5,16 +5,21 @@ a number. As a text is one row, numbering is an array expression and the operato
 over a session of several rows (a conversation) is a window per session and type.
 """
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrimlake.functions import text as T
 from scrimlake.functions.values import ENTITY_TYPES, STRATEGIES
-from scrimlake.operators.spans import DEFAULT, detect, resolve, splice
+from scrimlake.operators import govern
+from scrimlake.operators.chat import entity_intent
+from scrimlake.operators.spans import DEFAULT, SPAN, detect, resolve, splice
+from scrimlake.sources.shared import written
 
 TOKEN = r"<[A-Z_]+_[0-9]+>"
+#: Types of which a value that is asked about stays as it is.
+QUESTION_TYPES = ("PERSON", "ORGANIZATION", "LOCATION")
 
 
 def _lookup(values: Mapping[str, str], key: Column, otherwise: Column) -> Column:
@@ -28,6 +33,10 @@ def placeholder_type(entity_type: Column) -> Column:
     return _lookup(ENTITY_TYPES, entity_type, entity_type)
 
 
+def placeholder(ptype: Column, number: Column) -> Column:
+    return F.format_string("<%s_%d>", ptype, number)
+
+
 def replacement(value: Column, entity_type: Column, ptype: Column, number: Column, strategy: Column) -> Column:
     """The text that takes a value's place; an unknown strategy or synthetic type is redacted."""
     synthetic = F.when(ptype == "PHONE", T.synthetic_phone(value)).when(ptype == "EMAIL", T.synthetic_email(value)).otherwise("[REDACTED]")
@@ -40,10 +49,9 @@ def replacement(value: Column, entity_type: Column, ptype: Column, number: Colum
     )
 
 
-def anonymize(df: DataFrame, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", patterns=DEFAULT, threshold: float = 0.5, out: str = "anon_text") -> DataFrame:
-    """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each span replaced."""
-    df = df.withColumn("_spans", resolve(detect(F.col(text_col), patterns), threshold))
-    typed = F.transform("_spans", lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["value"].alias("value"), placeholder_type(s["entity_type"]).alias("ptype"), T.canonical(s["value"], s["entity_type"]).alias("canon")))
+def replace_spans(df: DataFrame, spans_col: str, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", out: str = "anon_text") -> DataFrame:
+    """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each of the disjoint, ordered spans in spans_col."""
+    typed = F.transform(spans_col, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["value"].alias("value"), placeholder_type(s["entity_type"]).alias("ptype"), T.canonical(s["value"], s["entity_type"]).alias("canon")))
     df = df.withColumn("_typed", typed)
     last = F.transform(F.array_distinct(F.transform("_typed", lambda s: F.struct(s["ptype"].alias("ptype"), s["canon"].alias("canon")))), lambda u: F.struct(u["ptype"].alias("ptype"), u["canon"].alias("canon"), F.array_max(F.transform(F.filter("_typed", lambda s: (s["ptype"] == u["ptype"]) & (s["canon"] == u["canon"])), lambda s: s["start"])).alias("at")))
     df = df.withColumn("_last", last)
@@ -53,23 +61,60 @@ def anonymize(df: DataFrame, text_col: str = "text", strategies: Mapping[str, st
     df = df.withColumn("_numbered", numbered)
     new = lambda s: replacement(s["value"], s["entity_type"], s["ptype"], s["number"], s["strategy"])
     df = df.withColumn("entities", F.transform("_numbered", lambda s: F.struct(*[s[c].alias(c) for c in ("entity_type", "start", "end", "score", "value", "ptype", "strategy", "number")], new(s).alias("new"))))
-    return df.withColumn(out, splice(F.col(text_col), F.col("entities"))).drop("_spans", "_typed", "_last", "_numbered")
+    return df.withColumn(out, splice(F.col(text_col), F.col("entities"))).drop("_typed", "_last", "_numbered")
 
 
-def anonymize_sessions(df: DataFrame, session_col: str, order_col: str, text_col: str = "text", patterns=DEFAULT, threshold: float = 0.5, skip: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Placeholders numbered over a session. Returns (rows with anon_text, mapping).
+def anonymize(df: DataFrame, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", patterns=DEFAULT, threshold: float = 0.5, out: str = "anon_text") -> DataFrame:
+    """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each span replaced."""
+    df = df.withColumn("_spans", resolve(detect(F.col(text_col), patterns), threshold))
+    return replace_spans(df, "_spans", text_col, strategies, default, out).drop("_spans")
+
+
+def anonymize_exempting(
+    df: DataFrame, path: str, allow: DataFrame | None = None, asked_types: Sequence[str] = QUESTION_TYPES, text_col: str = "text",
+    strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", patterns=DEFAULT, threshold: float = 0.5, spans: Column | None = None, out: str = "anon_text",
+) -> DataFrame:
+    """Like anonymize(), but spans that are asked about or that an allowlist has stay. Adds `exemptions`: (entity_type, start, end, value, reason) of those, by
+    place; reason is intent, which is tried first, or allowlist.
+
+    Each text is searched once and written under path with its spans. The spans, without texts, meet the allowlist, of any size
+    (see govern), and what it exempts comes back to the texts in one join, a row for each text that has any. asked_types: the types that a question keeps. spans: an array to use
+    instead of the patterns' resolved spans. Rows needn't have a key; null texts have no spans.
+    """
+    found = spans if spans is not None else resolve(detect(F.col(text_col), patterns), threshold)
+    held = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_spans", F.coalesce(found, F.array().cast(f"array<{SPAN}>")))
+    asked = lambda s: s["entity_type"].isin(*asked_types) & entity_intent(F.col(text_col), s["start"], s["end"])["is_question"] if asked_types else F.lit(False)
+    held = held.withColumn("_spans", F.transform("_spans", lambda s: F.struct(s.alias("s"), asked(s).alias("asked"))))
+    held = written(held, f"{path}/spans")
+    exempt_at = F.lit(None).cast("array<int>")
+    if allow is not None:
+        each = held.select("_row", F.explode(F.filter("_spans", lambda x: ~x["asked"])).alias("x")).select("_row", "x.s.*")
+        hits = govern.exempt(each, allow).groupBy("_row").agg(F.collect_set("start").alias("_allowed"))
+        held, exempt_at = held.join(hits, "_row", "left"), F.col("_allowed")
+    allowed = lambda x: ~x["asked"] & F.coalesce(F.array_contains(exempt_at, x["s"]["start"]), F.lit(False))
+    kept = F.transform(F.filter("_spans", lambda x: ~x["asked"] & ~allowed(x)), lambda x: x["s"])
+    gone = F.transform(F.filter("_spans", lambda x: x["asked"] | allowed(x)), lambda x: F.struct(*[x["s"][c].alias(c) for c in ("entity_type", "start", "end", "value")], F.when(x["asked"], "intent").otherwise("allowlist").alias("reason")))
+    rows = held.withColumn("_kept", kept).withColumn("exemptions", gone)
+    return replace_spans(rows, "_kept", text_col, strategies, default, out).drop("_row", "_spans", "_kept", "_allowed")
+
+
+def anonymize_sessions(df: DataFrame, session_col: str, order_col: str, text_col: str = "text", patterns=DEFAULT, threshold: float = 0.5, skip: Column | None = None, name=None) -> tuple[DataFrame, DataFrame]:
+    """Values named over a session. Returns (rows with anon_text, mapping).
 
     Numbers follow first occurrence. mapping: session, ptype, original (the first raw form), placeholder.
-    skip: rows whose text stays as it is.
+    skip: rows whose text stays as it is. name: of columns (session, ptype, number, original) the Column that takes a value's place, by default its placeholder.
     """
     found = resolve(detect(F.col(text_col), patterns), threshold)
     if skip is not None:
-        found = F.when(skip, F.array().cast("array<struct<entity_type:string,start:int,end:int,score:double,value:string>>")).otherwise(found)
-    spans = df.select(F.col(session_col), F.col(order_col), F.explode(found).alias("s")).select(session_col, order_col, "s.*")
+        found = F.when(skip, F.array().cast(f"array<{SPAN}>")).otherwise(found)
+    # for explode() Spark would infer a filter that repeats all of the detection
+    spans = df.select(F.col(session_col), F.col(order_col), F.posexplode_outer(found).alias("_i", "_s")).where("_i is not null").select(session_col, order_col, "_s.*")
     spans = spans.withColumn("ptype", placeholder_type(F.col("entity_type"))).withColumn("canon", T.canonical(F.col("value"), F.col("entity_type")))
     values = spans.groupBy(session_col, "ptype", "canon").agg(F.min(F.struct(order_col, "start", "value")).alias("first"))
     number = F.row_number().over(Window.partitionBy(session_col, "ptype").orderBy(F.col(f"first.{order_col}"), F.col("first.start")))
-    values = values.select(session_col, "ptype", "canon", F.col("first.value").alias("original"), F.format_string("<%s_%d>", "ptype", number).alias("placeholder"))
+    values = values.select(session_col, "ptype", "canon", F.col("first.value").alias("original"), number.alias("number"))
+    named = name(F.col(session_col), F.col("ptype"), F.col("number"), F.col("original")) if name else placeholder(F.col("ptype"), F.col("number"))
+    values = values.select(session_col, "ptype", "canon", "original", named.alias("placeholder"))
     edits = spans.join(values, [session_col, "ptype", "canon"]).groupBy(session_col, order_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("new")))).alias("edits"))
     rows = df.join(edits, [session_col, order_col], "left")
     rows = rows.withColumn("anon_text", F.when(F.col("edits").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("edits")))).drop("edits")

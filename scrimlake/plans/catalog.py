@@ -1,7 +1,5 @@
 """The registered queries and their SQL, by name."""
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from scrimlake.functions import text as T
 from scrimlake.functions.values import EMAIL, SECRETS
 from scrimlake.operators import anonymize as A
 from scrimlake.operators import audit, chat, entropy, govern, secrets, spans, usage
-from scrimlake.sources import audit_log, lists
+from scrimlake.sources import audit_log, lists, shared
 from scrimlake.streaming import rehydrate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -596,16 +594,6 @@ def keys_and_md5(spark, sf_dir):
 # ---- streams and storage
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, where all executors can write. Where that is unset a local session, as in tests, gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="scrimlake-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 _CHAT_TEXT = "text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97 || '@example.com, host 10.0.' || turn % 250 || '.' || conv_id % 250 ELSE '' END"
 
 
@@ -613,7 +601,7 @@ _CHAT_TEXT = "text || CASE WHEN role = 'user' THEN ' Mail user' || conv_id % 97
 def stream_rehydrate(spark, sf_dir):
     """Anonymised conversations sent in pieces of seven characters through the stateful operator."""
     rows, mapping = _sessions(spark, sf_dir)
-    folder = _folder(spark)
+    folder = shared.folder(spark)
     whole = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "anon_text"))), lambda x: x["anon_text"]), "\n").alias("t"))
     whole.write.parquet(f"{folder}/whole")
     whole = spark.read.schema(whole.schema).parquet(f"{folder}/whole")
@@ -631,7 +619,7 @@ def stream_rehydrate(spark, sf_dir):
 def audit_log_roundtrip(spark, sf_dir):
     """Events appended to a table by day and read back from a time on."""
     events = _events(spark, sf_dir)
-    path = f"{_folder(spark)}/audit"
+    path = f"{shared.folder(spark)}/audit"
     audit_log.append(events.withColumn("event_id", F.col("event_id").cast("string")).withColumn("timestamp", F.col("timestamp").cast("timestamp")), path)
     first = events.agg(F.min("timestamp") + F.expr("INTERVAL 1 DAY")).first()[0]
     return audit_log.read(spark, path, start=first).select("event_id", "event_type", "tenant_id", "risk_level")
