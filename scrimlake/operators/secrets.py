@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.functions.values import RISKS, SECRETS
 from scrimlake.operators.spans import splice
+from scrimlake.sources import shared
 
 MATCH = "struct<start:int,rank:int,end:int,name:string,secret_type:string,risk:string,value:string>"
 
@@ -73,3 +74,33 @@ def block_reasons(df: DataFrame, id_col: str, text_col: str = "text", catalogue:
     rows = match_rows(df, id_col, text_col, catalogue).groupBy(id_col, "secret_type").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("at"))
     listed = F.array_sort(F.collect_list(F.struct("at", "secret_type", "n")))
     return rows.groupBy(id_col).agg(listed.alias("l")).select(id_col, F.array_join(F.transform("l", lambda x: F.format_string("%s x%d", x["secret_type"], x["n"])), ", ").alias("reason"))
+
+
+def json_strings(df: DataFrame, id_col: str, json_col: str, path: str, deepest: int = 64) -> DataFrame:
+    """(id, path, value) of every string in a column of JSON texts; a path has a member's name after a dot, an element's place in brackets.
+
+    Values are taken apart level by level: each level's objects and arrays are written under path and their members are the next level. Nulls and texts that aren't JSON have no
+    strings; what lies deeper than `deepest` levels, at which Spark's own parser ends, isn't reached.
+    """
+    spark = df.sparkSession
+    level = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    strings = []
+    for depth in range(deepest + 1):
+        level = shared.written(level.withColumn("kind", F.schema_of_variant("v")), f"{path}/level{depth}")
+        strings.append(level.where("kind = 'STRING'").select("id", "path", F.variant_get("v", "$", "string").alias("value")))
+        nested = level.where("kind like 'OBJECT%' or kind like 'ARRAY%'").select("id", "path", "v")
+        if nested.isEmpty():
+            break
+        members = nested.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "key"))
+        level = members.select("id", F.concat("path", name).alias("path"), F.col("value").alias("v"))
+    out = strings[0]
+    for more in strings[1:]:
+        out = out.unionByName(more)
+    return out.withColumnRenamed("id", id_col)
+
+
+def json_match_rows(df: DataFrame, id_col: str, json_col: str, path: str, catalogue: tuple = SECRETS) -> DataFrame:
+    """One row for each match in a string of a JSON text: id, path, name, secret_type, risk, start, end within the string, and a preview."""
+    rows = json_strings(df, id_col, json_col, path).withColumn("_at", F.struct(id_col, "path"))
+    return match_rows(rows, "_at", "value", catalogue).select("_at.*", "name", "secret_type", "risk", "start", "end", "preview")

@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def put(store: DataFrame, new: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
-    """The store with new entries, of which the newest of each tenant and key stays. ttl_seconds sets when the new ones expire."""
+def put(store: DataFrame, new: DataFrame, ttl_seconds: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The store with new entries, of which the newest of each tenant and key stays. ttl_seconds sets when the new ones expire.
+
+    ties: columns by which entries of one time are told apart, the highest counts; after them a hash of the whole entry, so that a second run gives the same.
+    """
     if ttl_seconds is not None:
         new = new.withColumn("expires_at", F.col("created_at") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
     both = store.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    last = Window.partitionBy("tenant_id", "key").orderBy(F.desc("_new"), F.desc("created_at"))
+    last = Window.partitionBy("tenant_id", "key").orderBy(F.desc("_new"), F.desc("created_at"), *[F.desc(c) for c in ties], F.xxhash64(*[F.col(c).cast("string") for c in store.columns]))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_new")
 
 

@@ -5,6 +5,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrimlake.streaming import sinks
+
 SCHEMA = """event_id string, event_type string, timestamp timestamp, tenant_id string, user_id string, request_id string, entity_type string, entity_count int, strategy_used string,
 source_ip string, user_agent string, api_key_hash string, endpoint string, method string, status_code int, error_message string, risk_level string, metadata map<string,string>"""
 
@@ -27,8 +29,8 @@ def read(spark: SparkSession, path: str, kind: str = "json", start: datetime | N
 
 
 def append_stream(events: DataFrame, path: str, checkpoint: str, seconds: int = 1):
-    """Starts a query that appends micro-batches of a stream of events."""
-    return events.writeStream.trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append(batch, path)).start()
+    """Starts a query that adds micro-batches of a stream of events, each once; sinks.audit_events() reads them."""
+    return sinks.into(events, lambda batch, i: sinks.audit_batch(batch, i, path), checkpoint, processingTime=f"{seconds} seconds")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str = "audit_logs", **options: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.operators import anonymize as A
 from scrimlake.operators import audit, govern, secrets, spans, usage
-from scrimlake.plans import catalog, relations, sessions  # noqa: F401 - registers its queries
+from scrimlake.plans import catalog, relations, sessions, streams  # noqa: F401 - registers its queries
 from scrimlake.sources import audit_log, lists
 from scrimlake.streaming import rehydrate
 
