@@ -59,28 +59,48 @@ def analyze(df: DataFrame, token_col: str, context: Column | None = None, bits:
     return df.withColumn("reason", F.when(F.col("level").isNull(), None).when(benign, "Matches known false positive pattern").otherwise(reasons))
 
 
+def _with_suspicious(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """df with an array (start, token, entropy, level, shaped) of the suspicious tokens of a text, by place.
+
+    The text is cut at its tokens of LEAST characters or more alone, so what is between them counts by its length.
+    """
+    long = rf"\S{{{LEAST},}}"
+    held = "array<struct<start:int,token:string>>"
+    parts = F.arrays_zip(F.split(text_col, long, -1).alias("gap"), F.regexp_extract_all(text_col, F.lit(long), F.lit(0)).alias("hit"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(held).alias("out"))
+
+    def step(acc, x):
+        at = acc["pos"] + F.length(x["gap"])
+        random = x["hit"].isNotNull() & ~x["hit"].rlike(r"^(\p{Nd}+|[\p{Ll}\p{Lo}]+|[\p{Lu}\p{Lo}]+)$")
+        token = F.array(F.struct(at.alias("start"), x["hit"].alias("token")))
+        return F.struct((at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("pos"), F.when(random, F.concat(acc["out"], token)).otherwise(acc["out"]).alias("out"))
+
+    found = F.when(F.col(text_col).rlike(long), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(held))
+    df = df.withColumn(out, found)
+    bits = lambda t: F.when(is_false_positive(t["token"]), 0.0).otherwise(F.round(T.entropy(t["token"]), 3))
+    df = df.withColumn(out, F.transform(out, lambda t: F.struct(t["start"].alias("start"), t["token"].alias("token"), bits(t).alias("entropy"))))
+    df = df.withColumn(out, F.transform(out, lambda t: F.struct(*[t[c].alias(c) for c in ("start", "token", "entropy")], T.entropy_level(t["entropy"]).alias("level"), looks_like_token(t["token"]).alias("shaped"))))
+    return df.withColumn(out, F.filter(out, lambda t: t["level"].isin("high", "critical") | ((t["level"] == "medium") & t["shaped"])))
+
+
 def suspicious_tokens(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, start, token, entropy, level, suspicious, reason of each run without spaces that is suspicious.
 
     Runs of digits, and of letters of one case, aren't. A token that stands twice in a text comes twice.
     """
-    parts = F.arrays_zip(F.split(text_col, r"\S+", -1).alias("gap"), F.regexp_extract_all(text_col, F.lit(r"\S+"), F.lit(0)).alias("hit"))
-    size = lambda x: F.coalesce(F.length(x["gap"]), F.lit(0)) + F.coalesce(F.length(x["hit"]), F.lit(0))
-    rows = df.select(F.col(id_col), parts.alias("_p"))
-    # only long tokens get an offset, from the sizes of all that stands before them
-    told = F.filter(F.transform("_p", lambda x, i: F.struct(i.alias("i"), x["hit"].alias("hit"), F.length(x["gap"]).alias("gap"))), lambda x: (F.length(x["hit"]) >= LEAST) & ~x["hit"].rlike(r"^(\p{Nd}+|[\p{Ll}\p{Lo}]+|[\p{Lu}\p{Lo}]+)$"))
-    before = lambda i: F.aggregate(F.slice("_p", F.lit(1), i), F.lit(0), lambda a, x: a + size(x))
-    # the entropy is computed before the explode, so that no filter repeats it
-    made = F.transform(told, lambda t: F.struct((before(t["i"]) + t["gap"]).alias("start"), t["hit"].alias("token"), T.entropy(t["hit"]).alias("bits")))
-    rows = rows.select(id_col, F.posexplode_outer(made).alias("_n", "_t")).where("_n is not null").select(id_col, "_t.start", "_t.token", "_t.bits")
-    return analyze(rows, "token", bits=F.col("bits")).drop("bits").where("suspicious")
+    rows = _with_suspicious(df.select(id_col, text_col), text_col, "_t").select(id_col, F.posexplode_outer("_t").alias("_n", "_t")).where("_n is not null").select(id_col, "_t.*")
+    benign = is_false_positive(F.col("token"))
+    reasons = F.concat_ws("; ", _by_level(F.col("level"), REASONS), F.when(F.col("shaped"), "Token-like format detected"))
+    return rows.select(id_col, "start", "token", "entropy", "level", F.lit(True).alias("suspicious"), F.when(benign, "Matches known false positive pattern").otherwise(reasons).alias("reason"))
 
 
 def report(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, n_found and overall_risk, the highest level or none, of every row. Ids are unique."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in ("low", "medium", "high", "critical")]), F.col("level"))
-    found = suspicious_tokens(df, id_col, text_col).groupBy(id_col).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.struct(rank.alias("r"), "level")).alias("top"))
-    return df.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("n", F.lit(0)).alias("n_found"), F.coalesce("top.level", F.lit("none")).alias("overall_risk"))
+    """id, n_found and overall_risk, the highest level or none, of every row."""
+    levels = ("low", "medium", "high", "critical")
+    rank = lambda t: F.array_position(F.array(*[F.lit(x) for x in levels]), t["level"]).cast("int")
+    rows = _with_suspicious(df.select(id_col, text_col), text_col, "_t").select(id_col, F.coalesce(F.size("_t"), F.lit(0)).alias("n_found"), F.array_max(F.transform("_t", rank)).alias("_top"))
+    named = F.get(F.array(*[F.lit(x) for x in levels]), F.col("_top") - 1)
+    return rows.select(id_col, F.greatest("n_found", F.lit(0)).alias("n_found"), F.coalesce(named, F.lit("none")).alias("overall_risk"))
 
 
 def spans(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

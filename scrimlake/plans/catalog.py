@@ -239,6 +239,11 @@ def question_intent(spark, sf_dir):
 # ---- replacement and reversal
 
 
+def _rows(df, key: str, array: str = "entities"):
+    """A row for each element, as e; for explode() Spark would infer a filter that repeats all that makes the array."""
+    return df.select(key, F.posexplode_outer(array).alias("_i", "e")).where("_i is not null")
+
+
 def _anon(spark, sf_dir, strategy=None):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kinds = {} if strategy else A.STRATEGIES
@@ -254,12 +259,12 @@ m AS (SELECT *, max(start) OVER (PARTITION BY doc_id, ptype, canon) AS latest FR
 
 @query(f"{_TYPED} SELECT doc_id, ptype, value, start, '<' || ptype || '_' || number || '>' AS new FROM n")
 def anonymize_placeholder(spark, sf_dir):
-    return _anon(spark, sf_dir, "placeholder").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
+    return _rows(_anon(spark, sf_dir, "placeholder"), "doc_id").select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
 
 
 @query(f"{_TYPED} SELECT doc_id, ptype, value, start, sha256(entity_type || ':' || value) AS new FROM n")
 def anonymize_hash(spark, sf_dir):
-    return _anon(spark, sf_dir, "hash").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
+    return _rows(_anon(spark, sf_dir, "hash"), "doc_id").select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
 
 
 _MASK = """CASE ptype WHEN 'PHONE' THEN left(regexp_replace(value, '[^0-9]', '', 'g'), 3) || '****' || right(regexp_replace(value, '[^0-9]', '', 'g'), 4)
@@ -270,7 +275,7 @@ _MASK = """CASE ptype WHEN 'PHONE' THEN left(regexp_replace(value, '[^0-9]', '',
 
 @query(f"{_TYPED} SELECT doc_id, ptype, value, start, {_MASK} AS new FROM n")
 def anonymize_mask(spark, sf_dir):
-    return _anon(spark, sf_dir, "mask").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
+    return _rows(_anon(spark, sf_dir, "mask"), "doc_id").select("doc_id", "e.ptype", "e.value", "e.start", "e.new")
 
 
 @query(f"{_TYPED} SELECT doc_id, ptype, count(*) AS n, count(DISTINCT canon) AS n_values FROM n GROUP BY ALL")
@@ -295,7 +300,7 @@ _MOD = "(('0x' || md5('42:' || {v}))::UHUGEINT % {n})::BIGINT"
 @query(f"""{_TYPED} SELECT doc_id, ptype, start, CASE ptype WHEN 'PHONE' THEN left(regexp_replace(value, '[^0-9]', '', 'g'), 3) || lpad({_MOD.format(v="value", n=100000000)}::VARCHAR, 8, '0')
     WHEN 'EMAIL' THEN 'user' || {_MOD.format(v="lower(value)", n=1000000)} || '@example.com' ELSE '[REDACTED]' END AS new FROM n""")
 def anonymize_synthetic(spark, sf_dir):
-    return _anon(spark, sf_dir, "synthetic").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.start", "e.new")
+    return _rows(_anon(spark, sf_dir, "synthetic"), "doc_id").select("doc_id", "e.ptype", "e.start", "e.new")
 
 
 @query("SELECT doc_id, TRUE AS restored FROM documents")
@@ -351,7 +356,7 @@ def fuzzy_placeholders(spark, sf_dir):
 @query(f"{_TYPED} SELECT doc_id, ptype, start, CASE WHEN ptype = 'IP' THEN '[REDACTED]' WHEN ptype = 'CREDIT_CARD' THEN {_MASK} ELSE '<' || ptype || '_' || number || '>' END AS new FROM n")
 def strategy_overlay(spark, sf_dir):
     out = A.anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), strategies={**A.STRATEGIES, "IP": "redact"}, patterns=FOUR)
-    return out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.ptype", "e.start", "e.new")
+    return _rows(out, "doc_id").select("doc_id", "e.ptype", "e.start", "e.new")
 
 
 @query("""WITH u AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'), f AS (SELECT conv_id, min(turn) AS f FROM conversations WHERE role = 'system' GROUP BY 1)
