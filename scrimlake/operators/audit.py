@@ -81,8 +81,9 @@ def summary_maps(events: DataFrame) -> DataFrame:
 
 
 def log_name(day: Column, rotation: str = "daily") -> Column:
-    """The file that holds a day's events: by day, by calendar year and ISO week, or by month."""
-    names = {"daily": F.date_format(day, "yyyyMMdd"), "weekly": F.concat(F.date_format(day, "yyyy"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")), "monthly": F.date_format(day, "yyyyMM")}
+    """The file that holds a day's events: by day, by ISO week and the year it belongs to, so that no two weeks share a name, or by month."""
+    year = F.year(F.date_add(F.to_date(day), 3 - F.weekday(day)))  # that of the week's Thursday
+    names = {"daily": F.date_format(day, "yyyyMMdd"), "weekly": F.concat(year.cast("string"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")), "monthly": F.date_format(day, "yyyyMM")}
     return F.concat(F.lit("audit_"), names[rotation], F.lit(".jsonl"))
 
 

@@ -174,7 +174,7 @@ def audit_summary_maps(spark, sf_dir):
     return maps.select(*[F.to_json(c).alias(c) for c in maps.columns])
 
 
-@query(f"SELECT 'audit_' || strftime(timestamp, '%Y%m%d') || '.jsonl' AS daily, 'audit_' || strftime(timestamp, '%Y') || strftime(timestamp, '%V') || '.jsonl' AS weekly, 'audit_' || strftime(timestamp, '%Y%m') || '.jsonl' AS monthly, count(*) AS n FROM {_EVENTS} GROUP BY ALL")
+@query(f"SELECT 'audit_' || strftime(timestamp, '%Y%m%d') || '.jsonl' AS daily, 'audit_' || strftime(timestamp, '%G') || strftime(timestamp, '%V') || '.jsonl' AS weekly, 'audit_' || strftime(timestamp, '%Y%m') || '.jsonl' AS monthly, count(*) AS n FROM {_EVENTS} GROUP BY ALL")
 def audit_log_names(spark, sf_dir):
     """How many events go to each file of the three rotations."""
     return _events(spark, sf_dir).groupBy(*[audit.log_name(F.col("timestamp"), r).alias(r) for r in ("daily", "weekly", "monthly")]).agg(F.count(F.lit(1)).alias("n"))

@@ -1,10 +1,12 @@
 """Registered queries: limits and joins over streams, sinks that may be tried again, secrets within JSON."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from scrimlake.operators import secrets
 from scrimlake.plans.catalog import ORACLES, _PREVIEW, _secret_sql, _table, query
-from scrimlake.sources import shared
+from scrimlake.sources import audit_log, shared
 from scrimlake.streaming import completion, limits, sinks
 
 
@@ -103,6 +105,21 @@ def audit_stream_once(spark, sf_dir):
     return sinks.audit_events(spark, f"{folder}/audit", "event_id string, event_type string, timestamp timestamp").select("event_id", "event_type", "event_date")
 
 
+@query("SELECT event_id::VARCHAR AS event_id, rotation FROM events, (VALUES ('daily'), ('weekly'), ('monthly')) r(rotation) WHERE ts BETWEEN (SELECT date_trunc('day', min(ts)) + INTERVAL 5 DAY FROM events) AND (SELECT date_trunc('day', min(ts)) + INTERVAL 20 DAY FROM events)")
+def audit_files_range(spark, sf_dir):
+    """Events written as files of each rotation and read back for fifteen days: only the files of those days are opened."""
+    folder = shared.folder(spark)
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("ts").cast("timestamp").alias("timestamp"))
+    first = events.agg(F.date_trunc("day", F.min("timestamp"))).first()[0]
+    out = None
+    for rotation in ("daily", "weekly", "monthly"):
+        audit_log.write_files(events, f"{folder}/{rotation}", rotation)
+        found = audit_log.read_files(spark, f"{folder}/{rotation}", first + timedelta(days=5), first + timedelta(days=20), rotation)
+        found = found.select("event_id", F.lit(rotation).alias("rotation"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ---- secrets within JSON
 
 _JSON = """(SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || ', "user": {"id": ' || user_id || ', "notes": ["plain", {"key": "AKIA' || upper(left(md5(event_id::VARCHAR), 16)) || '"}, ["password = p' || event_id || '"]]}, "url": "redis://h/' || event_id || '", "none": null}' AS j FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, props FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'not json ' || event_id FROM events WHERE event_id % 3 = 2)"""

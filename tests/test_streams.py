@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scrimlake.operators import secrets, stores, usage
+from scrimlake.operators import audit, secrets, stores, usage
 from scrimlake.plans import catalog, sessions, streams  # noqa: F401 - registers its queries
 from scrimlake.sources import audit_log, shared
 from scrimlake.streaming import completion, limits, sinks
@@ -106,3 +106,21 @@ def test_strings_of_json_have_paths(spark):
     hits = secrets.json_match_rows(rows, "k", "j", shared.folder(spark)).collect()
     assert [(r["k"], r["path"], r["start"], r["end"]) for r in hits] == [(7, "$.messages[0].content", 4, 24)]
     assert secrets.json_strings(rows.limit(0), "k", "j", shared.folder(spark)).count() == 0
+
+
+def test_files_of_rotations(spark):
+    assert audit_log.file_names(dt.date(2024, 12, 29), dt.date(2025, 1, 6), "weekly") == ["audit_202452.jsonl", "audit_202501.jsonl", "audit_202502.jsonl"]
+    assert audit_log.file_names(dt.date(2024, 1, 31), dt.date(2024, 2, 1), "daily") == ["audit_20240131.jsonl", "audit_20240201.jsonl"]
+    path = f"{shared.folder(spark)}/logs"
+    days = [dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=k) for k in range(0, 400, 3)]
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(days)], EVENTS)
+    start, end = dt.datetime(2024, 12, 20), dt.datetime(2025, 1, 10)
+    for rotation, most in (("daily", 8), ("weekly", 4), ("monthly", 2)):
+        audit_log.write_files(rows, f"{path}/{rotation}", rotation)
+        found = audit_log.read_files(spark, f"{path}/{rotation}", start, end, rotation)
+        names = {f.split("log=")[1].split("/")[0] for f in found.inputFiles()}
+        assert sorted(int(r["event_id"]) for r in found.collect()) == [k for k, t in enumerate(days) if start <= t <= end]
+        assert 0 < len(names) <= most and names <= set(audit_log.file_names(start.date(), end.date(), rotation))
+        by_column = {r[0] for r in rows.where(F.col("timestamp").between(F.lit(start), F.lit(end))).select(audit.log_name(F.col("timestamp"), rotation)).collect()}
+        assert by_column <= names
+    assert audit_log.read_files(spark, path, start, end).count() == 0
