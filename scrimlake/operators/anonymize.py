@@ -37,19 +37,19 @@ def placeholder(ptype: Column, number: Column) -> Column:
     return F.format_string("<%s_%d>", ptype, number)
 
 
-def replacement(value: Column, entity_type: Column, ptype: Column, number: Column, strategy: Column) -> Column:
-    """The text that takes a value's place; an unknown strategy or synthetic type is redacted."""
-    synthetic = F.when(ptype == "PHONE", T.synthetic_phone(value)).when(ptype == "EMAIL", T.synthetic_email(value)).otherwise("[REDACTED]")
+def replacement(value: Column, entity_type: Column, ptype: Column, number: Column, strategy: Column, marker: str = "[REDACTED]") -> Column:
+    """The text that takes a value's place; an unknown strategy or synthetic type is redacted, by the marker."""
+    synthetic = F.when(ptype == "PHONE", T.synthetic_phone(value)).when(ptype == "EMAIL", T.synthetic_email(value)).otherwise(marker)
     return (
         F.when(strategy == "placeholder", F.format_string("<%s_%d>", ptype, number))
         .when(strategy == "hash", T.salted_hash(value, entity_type))
         .when(strategy == "mask", T.mask(value, ptype))
         .when(strategy == "synthetic", synthetic)
-        .otherwise("[REDACTED]")
+        .otherwise(marker)
     )
 
 
-def replace_spans(df: DataFrame, spans_col: str, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", out: str = "anon_text") -> DataFrame:
+def replace_spans(df: DataFrame, spans_col: str, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", out: str = "anon_text", marker: str = "[REDACTED]") -> DataFrame:
     """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each of the disjoint, ordered spans in spans_col."""
     typed = F.transform(spans_col, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), s["value"].alias("value"), placeholder_type(s["entity_type"]).alias("ptype"), T.canonical(s["value"], s["entity_type"]).alias("canon")))
     df = df.withColumn("_typed", typed)
@@ -59,15 +59,15 @@ def replace_spans(df: DataFrame, spans_col: str, text_col: str = "text", strateg
     number = lambda s: F.size(F.filter("_last", lambda u: (u["ptype"] == s["ptype"]) & (u["at"] > at(s)))) + 1
     numbered = F.transform("_typed", lambda s: F.struct(*[s[c].alias(c) for c in ("entity_type", "start", "end", "score", "value", "ptype")], _lookup(strategies, s["ptype"], F.lit(default)).alias("strategy"), number(s).alias("number")))
     df = df.withColumn("_numbered", numbered)
-    new = lambda s: replacement(s["value"], s["entity_type"], s["ptype"], s["number"], s["strategy"])
+    new = lambda s: replacement(s["value"], s["entity_type"], s["ptype"], s["number"], s["strategy"], marker)
     df = df.withColumn("entities", F.transform("_numbered", lambda s: F.struct(*[s[c].alias(c) for c in ("entity_type", "start", "end", "score", "value", "ptype", "strategy", "number")], new(s).alias("new"))))
     return df.withColumn(out, splice(F.col(text_col), F.col("entities"))).drop("_typed", "_last", "_numbered")
 
 
-def anonymize(df: DataFrame, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", patterns=DEFAULT, threshold: float = 0.5, out: str = "anon_text") -> DataFrame:
-    """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each span replaced."""
+def anonymize(df: DataFrame, text_col: str = "text", strategies: Mapping[str, str] = STRATEGIES, default: str = "placeholder", patterns=DEFAULT, threshold: float = 0.5, out: str = "anon_text", marker: str = "[REDACTED]") -> DataFrame:
+    """Adds `out`, and `entities`: (entity_type, start, end, score, value, ptype, strategy, number, new) of each span replaced. marker: what stands for redacted values."""
     df = df.withColumn("_spans", resolve(detect(F.col(text_col), patterns), threshold))
-    return replace_spans(df, "_spans", text_col, strategies, default, out).drop("_spans")
+    return replace_spans(df, "_spans", text_col, strategies, default, out, marker).drop("_spans")
 
 
 def anonymize_exempting(

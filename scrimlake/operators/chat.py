@@ -21,11 +21,12 @@ def inject_prompt(turns: DataFrame, sessions: DataFrame, session_col: str, order
     return added.select(session_col, order_col, role_col, text_col).unionByName(new)
 
 
-def cache_keys(turns: DataFrame, session_col: str, order_col: str, tenant: Column, model: str, role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """session, key: the digest of tenant, model and all turns in order."""
+def cache_keys(turns: DataFrame, session_col: str, order_col: str, tenant: Column, model: str, role_col: str = "role", text_col: str = "text", options: dict[str, Column] | None = None) -> DataFrame:
+    """session, key: the digest of tenant, model, all turns in order and the options that aren't null, by name: temperature, top_p and others, the same for a session's turns."""
     listed = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.concat_ws(":", role_col, text_col).alias("m"))))
-    rows = turns.groupBy(session_col).agg(F.min(tenant).alias("_tenant"), listed.alias("_turns"))
-    whole = F.concat_ws("\x1f", F.col("_tenant").cast("string"), F.lit(model), F.array_join(F.transform("_turns", lambda t: t["m"]), "\x1f"))
+    named = [F.min(F.concat(F.lit(f"{k}="), v.cast("string"))).alias(f"_{k}") for k, v in sorted((options or {}).items())]
+    rows = turns.groupBy(session_col).agg(F.min(tenant).alias("_tenant"), listed.alias("_turns"), *named)
+    whole = F.concat_ws("\x1f", F.col("_tenant").cast("string"), F.lit(model), F.array_join(F.transform("_turns", lambda t: t["m"]), "\x1f"), *[F.col(f"_{k}") for k in sorted(options or {})])
     return rows.select(session_col, F.sha2(whole, 256).alias("key"))
 
 

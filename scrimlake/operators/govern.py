@@ -58,3 +58,25 @@ def tenants_of_keys(requests: DataFrame, keys: DataFrame, fallback: str) -> Data
 def permissions(users: DataFrame, roles: DataFrame) -> DataFrame:
     """user_id, permissions: the union over a user's roles, in order."""
     return users.select("user_id", F.explode("roles").alias("role")).join(roles, "role").groupBy("user_id").agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
+
+
+#: The permission that stands for all.
+ADMIN_ALL = "admin.all"
+
+
+def permitted(users: DataFrame, roles: DataFrame, permission: str) -> DataFrame:
+    """user_id, allowed: whether one of the user's roles has the permission, or the one for all. Users without roles have none; a user's repeated rows count together."""
+    grants = roles.where(F.col("permission").isin(permission, ADMIN_ALL)).select("role").distinct().withColumn("_has", F.lit(True))
+    held = users.select("user_id", F.explode_outer("roles").alias("role")).join(grants, "role", "left")
+    return held.groupBy("user_id").agg(F.coalesce(F.bool_or("_has"), F.lit(False)).alias("allowed"))
+
+
+def listed(entities: DataFrame, **filters) -> DataFrame:
+    """Keys, users or tenants whose columns have the given values; a filter of None asks for nothing, one of a list for any of its values."""
+    for name, value in filters.items():
+        if value is not None:
+            column = entities[name]
+            many = value if isinstance(value, (list, tuple, set)) else [value]
+            kind = entities.schema[name].dataType.typeName()
+            entities = entities.where(F.arrays_overlap(column, F.array(*[F.lit(v) for v in many])) if kind == "array" else column.isin(*many))
+    return entities

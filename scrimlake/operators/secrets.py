@@ -55,6 +55,14 @@ def match_rows(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tu
     return rows.select(id_col, "m.name", "m.secret_type", "m.risk", "m.start", "m.end", line.alias("line"), T.preview(F.col("m.value")).alias("preview"))
 
 
+def match_contents(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tuple = SECRETS) -> DataFrame:
+    """One row for each match: id, name, start, line (from 1) and content, the whole line that it begins on, trimmed."""
+    rows = df.select(id_col, text_col, F.posexplode_outer(scan(F.col(text_col), catalogue)).alias("_i", "m")).where("_i is not null")
+    line = (F.regexp_count(F.left(F.col(text_col), F.col("m.start")), F.lit("\n")) + 1).cast("int")
+    content = F.regexp_replace(F.split_part(F.col(text_col), F.lit("\n"), line), r"^\s+|\s+$", "")
+    return rows.select(id_col, "m.name", "m.start", line.alias("line"), content.alias("content"))
+
+
 def tallies(df: DataFrame, id_col: str, text_col: str = "text", catalogue: tuple = SECRETS) -> DataFrame:
     """id, total, critical, high and should_block of every text's matches."""
     n = lambda risk: F.size(F.filter("matches", lambda m: m["risk"] == risk))

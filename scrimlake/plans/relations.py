@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scrimlake.functions import text as T
 from scrimlake.operators import anonymize as A
 from scrimlake.operators import audit, chat, govern, secrets, spans, stores, usage
-from scrimlake.plans.catalog import _CHAT_TEXT, _EVENTS, _KEYS, _MASK, _MATCHES, _TYPED, _USAGE, _anon, _chat, _events, _sessions, _table, _tenant_events, _with_keys, query
+from scrimlake.plans.catalog import FOUR, _rows, _CHAT_TEXT, _CONTACTS, _EVENTS, _KEYS, _MASK, _MATCHES, _TYPED, _USAGE, _any, _anon, _chat, _events, _near, _sessions, _table, _tenant_events, _with_keys, query
 
 # ---- restoration
 
@@ -48,8 +48,7 @@ def mapping_from_json(spark, sf_dir):
     return back.groupBy("conv_id", "ptype").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, conv_id % 3 = 0 AS listed FROM conversations), d AS (SELECT conv_id, turn, text, listed, starts_with(lower(text), 'what') OR text LIKE '%?' AS q FROM c)
-SELECT conv_id, turn, (CASE WHEN role = 'user' AND conv_id % 97 <= 2 THEN 1 ELSE 0 END)::INT AS exempted, (CASE WHEN role = 'user' THEN 1 ELSE 0 END - CASE WHEN role = 'user' AND conv_id % 97 <= 2 THEN 1 ELSE 0 END)::INT AS replaced FROM conversations""")
+@query("""SELECT conv_id, turn, (CASE WHEN role = 'user' AND conv_id % 97 <= 2 THEN 1 ELSE 0 END)::INT AS exempted, (CASE WHEN role = 'user' THEN 1 ELSE 0 END - CASE WHEN role = 'user' AND conv_id % 97 <= 2 THEN 1 ELSE 0 END)::INT AS replaced FROM conversations""")
 def allowlisted_mail_gate(spark, sf_dir):
     """Of each turn's mail addresses, how many an allowlist exempts and how many are to be replaced."""
     found = _chat(spark, sf_dir).select("conv_id", "turn", spans.resolve(spans.detect(F.col("text"), (spans.MAIL,))).alias("s"))
@@ -60,14 +59,15 @@ def allowlisted_mail_gate(spark, sf_dir):
     return out.fillna(0, ["exempted", "replaced"])
 
 
-@query("SELECT conv_id, turn, start, value, preserved FROM (SELECT conv_id, turn, (length(text) + 6)::INT AS start, 'user' || conv_id % 97 || '@example.com' AS value, regexp_matches(right(text || ' Mail ', 50) || 'user' || conv_id % 97 || '@example.com', '(?i)what is|who is|explain|describe|introduce|tell me about') AS preserved, regexp_matches(text, '(?i)^\\s*(what|who|how|why|when|where|which|can|could|would|is|are|do|does|tell|explain|describe|introduce)') AS maybe, role FROM conversations) WHERE role = 'user' AND NOT preserved AND NOT maybe")
+@query(
+    f"""WITH c AS {_CONTACTS}, b AS (SELECT c.*, (length(text) + 6)::INT AS start, 'user' || conv_id % 97 || '@example.com' AS value FROM c JOIN conversations USING (conv_id, turn) WHERE role = 'user'), e AS (SELECT *, start + length(value) AS "end" FROM b)
+    SELECT conv_id, turn, start, value, {_any("trim(t)", T.INTENT)} OR {_any(_near, chat.ASKED)} AS preserved FROM e"""
+)
 def intent_replaced_entities(spark, sf_dir):
-    """Mail addresses that no question asks about, in turns that don't begin as a question does: those are to be replaced."""
+    """The mail addresses of all turns, and whether a question keeps them."""
     turns = _chat(spark, sf_dir)
     found = turns.select("conv_id", "turn", "text", F.posexplode_outer(spans.resolve(spans.detect(F.col("text"), (spans.MAIL,)))).alias("i", "s")).where("i is not null")
-    asked = chat.entity_intent(F.col("text"), F.col("s.start"), F.col("s.end"))["is_question"]
-    begins = F.col("text").rlike(r"(?i)^\s*(what|who|how|why|when|where|which|can|could|would|is|are|do|does|tell|explain|describe|introduce)")
-    return found.where(~begins).select("conv_id", "turn", "s.start", "s.value", asked.alias("preserved")).where(~F.col("preserved"))
+    return found.select("conv_id", "turn", "s.start", "s.value", chat.entity_intent(F.col("text"), F.col("s.start"), F.col("s.end"))["is_question"].alias("preserved"))
 
 
 # ---- stores: orders as entries of a cache
@@ -89,11 +89,11 @@ def _now():
     return F.lit(_NOW).cast("timestamp")
 
 
-@query(f"SELECT tenant_id, key, max(created_at)::DATE AS newest FROM (SELECT * FROM {_STORE} QUALIFY rank() OVER (PARTITION BY tenant_id, key ORDER BY entry % 2 DESC, created_at DESC) = 1) GROUP BY ALL")
+@query(f"SELECT tenant_id, key, entry FROM {_PUT}")
 def store_put(spark, sf_dir):
-    """Entries of even orders, then those of odd ones: of each tenant and key the latest stays."""
+    """Entries of even orders, then those of odd ones: of each tenant and key the latest stays, of one day that of the highest number."""
     rows = _entries(spark, sf_dir)
-    return stores.put(rows.where("entry % 2 = 0"), rows.where("entry % 2 = 1")).select("tenant_id", "key", F.to_date("created_at").alias("newest"))
+    return stores.put(rows.where("entry % 2 = 0"), rows.where("entry % 2 = 1"), ties=("entry",)).select("tenant_id", "key", "entry")
 
 
 @query(f"SELECT entry FROM {_STORE} WHERE expires_at IS NULL OR expires_at >= TIMESTAMP '{_NOW}'")
@@ -249,3 +249,42 @@ def person_scores(spark, sf_dir):
     span = F.struct(F.lit("PERSON").alias("entity_type"), F.lit(0).alias("start"), F.length("value").alias("end"), F.lit(0.5).alias("score"), F.col("value").alias("value"))
     found = spans.score_persons(F.array(span).cast(f"array<{spans.SPAN}>"))
     return _table(spark, sf_dir, "customer").select("c_custkey", name.alias("value")).select("c_custkey", "value", F.get(found, F.lit(0))["score"].alias("score"))
+
+
+@query("SELECT s_suppkey AS user_id, s_suppkey % 4 = 0 OR s_suppkey % 4 = 2 AS allowed FROM supplier")
+def rbac_allowed(spark, sf_dir):
+    """Who may write: editors, and administrators, who may do all."""
+    key = F.col("s_suppkey")
+    held = F.when(key % 4 == 0, F.array(F.lit("admin"))).when(key % 4 == 1, F.array(F.lit("viewer"))).when(key % 4 == 2, F.array(F.lit("viewer"), F.lit("editor"))).otherwise(F.array().cast("array<string>"))
+    users = _table(spark, sf_dir, "supplier").select(key.alias("user_id"), held.alias("roles"))
+    roles = spark.createDataFrame([("viewer", "read"), ("editor", "write"), ("admin", govern.ADMIN_ALL)], "role string, permission string")
+    return govern.permitted(users, roles, "write")
+
+
+@query("SELECT s_suppkey AS user_id FROM supplier WHERE s_suppkey % 4 IN (1, 2) AND s_nationkey % 2 = 1 AND s_suppkey % 3 > 0")
+def entities_listed(spark, sf_dir):
+    """Active users of a role in some tenants."""
+    key = F.col("s_suppkey")
+    held = F.when(key % 4 == 1, F.array(F.lit("viewer"))).when(key % 4 == 2, F.array(F.lit("viewer"), F.lit("editor"))).otherwise(F.array(F.lit("admin")))
+    users = _table(spark, sf_dir, "supplier").select(key.alias("user_id"), held.alias("roles"), F.col("s_nationkey").alias("tenant_id"), (key % 3 > 0).alias("is_active"))
+    return govern.listed(users, roles="viewer", tenant_id=list(range(1, 25, 2)), is_active=True, user_id=None).select("user_id")
+
+
+@query(f"{_TYPED} SELECT doc_id, ptype, start, '#' AS new FROM n")
+def redact_marker(spark, sf_dir):
+    """All values redacted by a marker of one's own."""
+    out = A.anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), strategies={}, default="redact", patterns=FOUR, marker="#")
+    return _rows(out, "doc_id").select("doc_id", "e.ptype", "e.start", "e.new")
+
+
+@query("SELECT conv_id, sha256(conv_id % 5 || chr(31) || 'm' || chr(31) || string_agg(role || ':' || text, chr(31) ORDER BY turn) || CASE WHEN conv_id % 3 > 0 THEN chr(31) || 'temperature=0.' || conv_id % 3 ELSE '' END || chr(31) || 'top_p=1') AS key FROM conversations GROUP BY conv_id")
+def cache_key_options(spark, sf_dir):
+    """Keys of requests with options, of which one may be missing."""
+    heat = F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("0."), (F.col("conv_id") % 3).cast("string")))
+    return chat.cache_keys(_table(spark, sf_dir, "conversations"), "conv_id", "turn", F.col("conv_id") % 5, "m", options={"top_p": F.lit(1), "temperature": heat})
+
+
+@query(rf"SELECT doc_id, name, start, line, regexp_replace(string_split(text, chr(10))[line], '^\s+|\s+$', '', 'g') AS content FROM (SELECT doc_id, name, start, text, (length(left(text, start)) - length(replace(left(text, start), chr(10), '')) + 1)::INT AS line FROM ({{_MATCHES}}) JOIN {{_KEYS}} USING (doc_id))".format(_MATCHES=_MATCHES, _KEYS=_KEYS))
+def secret_line_content(spark, sf_dir):
+    """The lines on which secrets begin."""
+    return secrets.match_contents(_with_keys(spark, sf_dir), "doc_id")
