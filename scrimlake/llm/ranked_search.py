@@ -1,7 +1,7 @@
 """Ranked lexical search by hashed max-sketches.
 
 A document's score for an item is a sum over the item's terms of the term's weight, by its rarity, times the document's
-impact for it, by its count there and the document's length. The index has a sketch of each document: every term falls on one of 2^BITS
+impact for it, by its count there and the document's length. The index has a sketch of each document: every term falls on one of 2^bits
 coordinates by its hash, and a coordinate keeps the highest count of its terms. As an impact grows with the count, the
 impact of a coordinate is no less than that of any term on it, so the weighted impacts at the coordinates of an item's terms
 add up to an upper bound of its score. Items are looked up in blocks: a chunk of sketches times the weights of the
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from scrimlake.llm.common import Scratch, no_clash
 from scrimlake.llm.substring_dedup import WordHashes
 
+#: A coordinate is a number of two bytes, so bits go up to 16.
 BITS = 14
 #: Counts are kept up to this one, which stands for any higher one too.
 _MOST = 255
@@ -49,20 +50,23 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in batches:
-        lengths, at, peak = [], [], []
-        for text in _texts(batch):
-            counts = Counter(terms(text))
-            places = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts)) >> np.uint64(64 - BITS)
-            tf = np.fromiter(counts.values(), np.int64, len(counts))
-            both = np.sort(places.astype(np.int64) * (_MOST + 1) + np.minimum(tf, _MOST))
-            both = both[np.diff(both // (_MOST + 1), append=-1) != 0]
-            lengths.append(int(tf.sum()))
-            at.append((both // (_MOST + 1)).astype("<u2").tobytes())
-            peak.append((both % (_MOST + 1)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("tk"), pa.array(lengths, pa.int64()), pa.array(at, pa.binary()), pa.array(peak, pa.binary())], names=["tk", "n", "at", "peak"])
+def _sketched(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            lengths, at, peak = [], [], []
+            for text in _texts(batch):
+                counts = Counter(terms(text))
+                places = np.fromiter(map(known.__getitem__, counts), np.uint64, len(counts)) >> np.uint64(64 - bits)
+                tf = np.fromiter(counts.values(), np.int64, len(counts))
+                both = np.sort(places.astype(np.int64) * (_MOST + 1) + np.minimum(tf, _MOST))
+                both = both[np.diff(both // (_MOST + 1), append=-1) != 0]
+                lengths.append(int(tf.sum()))
+                at.append((both // (_MOST + 1)).astype("<u2").tobytes())
+                peak.append((both % (_MOST + 1)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("tk"), pa.array(lengths, pa.int64()), pa.array(at, pa.binary()), pa.array(peak, pa.binary())], names=["tk", "n", "at", "peak"])
+
+    return run
 
 
 def _frequencies(vocabulary: frozenset[bytes]) -> Callable:
@@ -79,13 +83,13 @@ def _frequencies(vocabulary: frozenset[bytes]) -> Callable:
 class Block:
     """The items of one block with their terms' weights; its size is that of the items."""
 
-    def __init__(self, items: list[list[bytes]], df: dict[bytes, int], n_docs: int, n_terms: int):
+    def __init__(self, items: list[list[bytes]], df: dict[bytes, int], n_docs: int, n_terms: int, bits: int = BITS):
         self.n_docs, self.n_terms = n_docs, n_terms
         self.items = [{t: weight(n_docs, df[t]) for t in item if t in df} for item in items]
         hashes = WordHashes()
-        places = [[hashes[t] >> (64 - BITS) for t in item] for item in self.items]
+        places = [[hashes[t] >> (64 - bits) for t in item] for item in self.items]
         used = sorted({p for ps in places for p in ps})
-        self.column = np.full(1 << BITS, -1, np.int32)
+        self.column = np.full(1 << bits, -1, np.int32)
         self.column[used] = np.arange(len(used))
         self.weights = np.zeros((len(used), len(items)), np.float32)
         for k, (ps, item) in enumerate(zip(places, self.items)):
@@ -171,18 +175,18 @@ def _best(scores: DataFrame, keep: int, *order) -> DataFrame:
     return cut.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("_n") <= keep)
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> DataFrame:
     """The index: (tk, n, at, peak) of every row, tk a hash of the text, n its terms, at the coordinates in order, peak their highest counts."""
-    rows = no_clash(docs, id_col, text_col).select(F.xxhash64(f"`{text_col}`").alias("tk"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(_sketched, "tk long, n long, at binary, peak binary")
+    rows = no_clash(docs, text_col).select(F.xxhash64(f"`{text_col}`").alias("tk"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(_sketched(bits), "tk long, n long, at binary, peak binary")
 
 
-def _search_block(rows: DataFrame, index: DataFrame, items: list[list[bytes]], totals: tuple[int, int], keep: int, scratch: Scratch, step: str) -> DataFrame:
+def _search_block(rows: DataFrame, index: DataFrame, items: list[list[bytes]], totals: tuple[int, int], keep: int, bits: int, scratch: Scratch, step: str) -> DataFrame:
     """(item, rank, id, score); item counts from 0 within the block."""
     spark = rows.sparkSession
     vocabulary = frozenset(t for item in items for t in item)
     counted = rows.select("text").mapInArrow(_frequencies(vocabulary), "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    block = Block(items, {bytes(r["term"]): r["df"] for r in counted.collect()}, *totals)  # a row for each term of the block at most
+    block = Block(items, {bytes(r["term"]): r["df"] for r in counted.collect()}, *totals, bits)  # a row for each term of the block at most
     rescored = lambda chosen: rows.join(chosen, "tk").select("id", "text", "items").mapInArrow(_scored(block), "id long, item int, score long")
 
     first = index.mapInArrow(_highest(block, 4 * keep), "tk long, item int, bound double")
@@ -201,7 +205,7 @@ def _search_block(rows: DataFrame, index: DataFrame, items: list[list[bytes]], t
     return found
 
 
-def search(docs: DataFrame, queries: DataFrame, keep: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", block: int = 512) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, keep: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", block: int = 512, bits: int = BITS) -> DataFrame:
     """(item, rank, id, score): for each item the `keep` documents of the highest score above 0, all if fewer.
 
     Equal scores rank by ascending id, null last. Rows of queries with one id are one item with all their terms; a null item id is
@@ -213,7 +217,7 @@ def search(docs: DataFrame, queries: DataFrame, keep: int = 10, id_col: str = "d
     scratch = Scratch(spark, "search")
     rows = no_clash(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.withColumn("tk", F.xxhash64("text"))
-    index = scratch.save(sketches(docs, id_col, text_col), "index")
+    index = scratch.save(sketches(docs, text_col, bits), "index")
     totals = index.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     asked = no_clash(queries, query_id, query_text).groupBy(F.col(f"`{query_id}`").alias("item_id")).agg(F.concat_ws("\n", F.collect_set(f"`{query_text}`")).alias("text"))
     asked = scratch.save(asked, "asked")
@@ -225,7 +229,7 @@ def search(docs: DataFrame, queries: DataFrame, keep: int = 10, id_col: str = "d
     def searched() -> DataFrame:
         items = [list(dict.fromkeys(terms(text.encode()))) for _, text in held]
         names = spark.createDataFrame([(k, item) for k, (item, _) in enumerate(held)], f"at int, name {kind}")
-        found = _search_block(rows, index, items, tuple(totals), keep, scratch, f"b{n}-")
+        found = _search_block(rows, index, items, tuple(totals), keep, bits, scratch, f"b{n}-")
         return found.join(names, F.col("item") == F.col("at")).select(F.col("name").alias("item"), "rank", "id", "score")
 
     n = 0
