@@ -23,8 +23,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, step: str = "components") -> DataFrame:
-    """(node, root) for every node that has an edge; root is the smallest node of its component.
+def connected_components(edges: DataFrame, scratch: Scratch, step: str = "components", rounds: int | None = None) -> DataFrame:
+    """(node, root) for every node that has an edge; root is the smallest node of its component. After `rounds`, if given, it may still be
+    another node of the component.
 
     edges: columns a and b of one orderable type; direction, repeats and self-loops don't matter.
     No edges: no rows.
@@ -40,6 +41,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, step: str = "compon
         state = (seen.get["n"], seen.get["x"])
         if state == before or state[0] == 0:
             break
+        if rounds is not None and turn == rounds:
+            labels = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")))
+            return labels.groupBy("node").agg(F.min("root").alias("root"))
         before, turn = state, turn + 1
         now = _small_star(_large_star(now).distinct()).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,11 +15,11 @@ from scrimlake.llm.common import Scratch
 from scrimlake.llm.components import connected_components
 
 
-def met_components(meets: DataFrame, likely: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, stars: int = 6) -> DataFrame:
+def met_components(meets: DataFrame, likely: Callable[[DataFrame, bool], DataFrame], verify: Callable[[DataFrame], DataFrame], scratch: Scratch, stars: int = 2) -> DataFrame:
     """(node, root) of the nodes that have a link.
 
     meets: k, node and columns about the node, a row for each key of a node. likely: from (a, about_a, b, about_b), a row for each shared key,
-    about being a struct of those columns, the distinct pairs (a, b), a < b, that may be linked. verify: the pairs with linked. Star rounds end after
+    about being a struct of those columns, and whether those are all keys that the pairs share, as in star rounds they aren't, the distinct pairs (a, b), a < b, that may be linked. verify: the pairs with linked. Star rounds end after
     `stars`, once the pairs left are few, or once they link few nodes. No meets: no rows.
     """
     spark = meets.sparkSession
@@ -47,10 +47,10 @@ def met_components(meets: DataFrame, likely: Callable[[DataFrame], DataFrame], v
             pick = now.groupBy("k").agg(F.min_by(F.struct("node", "root", "about"), F.xxhash64("node", "k", F.lit(turn))).alias("p"))
             pick = pick.select("k", F.col("p.root").alias("main"), F.col("p.node").alias("b"), F.col("p.about").alias("about_b"))
             met = now.join(pick, "k").where("root <> main").select(F.col("node").alias("a"), F.col("about").alias("about_a"), "b", "about_b")
-        pairs = likely(met.select("a", "about_a", "b", "about_b")).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = likely(met.select("a", "about_a", "b", "about_b"), last).join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"pairs{turn}")
         tried = scratch.save(tried.unionByName(verify(pairs)), f"tried{turn}")
-        roots = connected_components(tried.where("linked").select("a", "b"), scratch, f"round{turn}-")
+        roots = connected_components(tried.where("linked").select("a", "b"), scratch, f"round{turn}-", None if last else 2)  # labels in between only save comparisons
         scratch.drop(f"parts{turn}", f"now{turn}", f"pairs{turn}", f"tried{turn - 1}")
         if last:
             return roots

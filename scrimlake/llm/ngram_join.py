@@ -8,11 +8,13 @@ and 1/l of that, which is the most sets that can share l shingles, times the cos
 as many as the lesser asks.
 
 The order is by estimated frequency, rare shingles first, then by hash; frequencies come from a count-min row over all shingles, of at most
-`max_cells` cells, of which a byte each, the logarithm, goes back to the tasks. Any order gives the same result.
+`max_cells` cells, of which half a byte each, the logarithm, goes back to the tasks. Any order gives the same result, but with many more
+shingles than cells more of those that few sets have are in prefixes, and more pairs are looked at.
 
-Equal sets are one node. Of the sets that share a shingle, not all pairs are compared: in star rounds each is held against one that the round
-picks, which joins groups of near copies, of any size, in a few rounds. Then all pairs that share a shingle and aren't connected
-yet are compared, those outside of a shingle's largest component with all others, so that no link between components is lost.
+Sets that meet are first held together by signatures: bit i of a signature is whether an odd number of the set's hashes fall on it. Each
+shingle that only one of two sets has changes one bit of the difference, so they differ in at least as many shingles as bits; pairs that differ in too many go.
+
+Equal sets are one node. Not all sets that share a shingle are paired, but the components are those of all pairs (see meeting).
 """
 
 from collections.abc import Callable, Iterator
@@ -24,12 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrimlake.llm.common import Scratch, no_clash
-from scrimlake.llm.components import connected_components
+from scrimlake.llm.meeting import met_components
 from scrimlake.llm.substring_dedup import Rolling, WordHashes, _pack, _unpack, _word_hashes
 
 MATCHES = 8
 #: What a comparison of two sets costs, in meetings of two sets at a shingle.
 COMPARED = 20
+#: Bits of a signature.
+SIGNED = 512
 _BLOCK = 1 << 20
 _HELD = 1_000_000
 #: Sets that a task remembers, to send copies on once.
@@ -41,7 +45,7 @@ class Shingles:
     """The distinct shingle hashes of texts, in order: of each `size` words in a row, or of all words if there are fewer."""
 
     def __init__(self, size: int):
-        self.size, self.known, self.rolling = size, WordHashes(), Rolling(size)
+        self.size, self.known, self.rolling, self.seen = size, WordHashes(), Rolling(size), set()
 
     def __call__(self, text: bytes) -> np.ndarray:
         w = _word_hashes(text.lower(), self.known)  # of bytes, lower() changes A-Z only
@@ -49,18 +53,22 @@ class Shingles:
             return np.array([xxhash.xxh64_intdigest(w.tobytes(), len(w))], np.uint64)
         return np.unique(self.rolling(w))
 
-    def sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    def new(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         """(node, hashes) of the texts; a set that this task has met lately is left out."""
-        seen: set[int] = set()
         for batch in batches:
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 h = self(text or b"")
-                if len(h) and (node := _node(h)) not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(node)
+                if len(h) and self.is_new(node := _node(h)):
                     yield node, h
 
+    def is_new(self, node: int) -> bool:
+        if node in self.seen:
+            return False
+        if len(self.seen) >= _SEEN:
+            self.seen.clear()
+        self.seen.add(node)
+        return True
+
 
 def _node(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
@@ -70,15 +78,9 @@ def _cells(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _named(size: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(size)
-        for batch in batches:
-            sets = [shingles(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            nodes = pa.array([_node(h) if len(h) else None for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in sets], pa.int64()), nodes], names=["id", "n_shingles", "node"])
-
-    return run
+def signature(h: np.ndarray) -> np.ndarray:
+    odd = np.bincount((h % np.uint64(SIGNED)).astype(np.int64), minlength=SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _counted(size: int, bits: int) -> Callable:
@@ -93,7 +95,7 @@ def _counted(size: int, bits: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for _, h in Shingles(size).sets(batches):
+        for _, h in Shingles(size).new(batches):
             held.append(h)
             n += len(h)
             if n >= _HELD:
@@ -106,7 +108,7 @@ def _counted(size: int, bits: int) -> Callable:
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counts of blocks and gives eight times their binary logarithm, rounded up."""
+    """Adds up the counts of blocks and gives their binary logarithm, rounded up, 15 at most, two in a byte."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -114,8 +116,9 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, n = np.unique(_unpack(cells), return_counts=True)
             total[at] += n
     for block, total in sums.items():
-        levels = np.ceil(8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["block", "levels"])
+        levels = np.minimum(np.ceil(np.log2(np.maximum(total, 1))), 15).astype(np.uint8)
+        both = levels[::2] | levels[1::2] << 4
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([both.tobytes()], pa.binary())], names=["block", "levels"])
 
 
 def need(n: int, percent: int) -> int:
@@ -130,67 +133,81 @@ def prefix(h: np.ndarray, levels: np.ndarray, load: float, percent: int) -> tupl
     order = np.lexsort((h, levels))
     shortest = n - need(n, percent) + 1
     longest = min(n, shortest + MATCHES - 1)
-    others = np.maximum(np.exp2(levels[order[:longest]] / 8.0) - load - 1, 0)
+    others = np.maximum(np.exp2(levels[order[:longest]].astype(np.float64)) - load - 1, 0)
     met = np.cumsum(others)[shortest - 1 : longest]
     asked = np.arange(1, len(met) + 1)
     best = int(np.argmin(met + COMPARED * met / asked))
     return order[: shortest + best], best + 1
 
 
+_ROW = pa.schema([("id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("asked", pa.int32()), ("place", pa.int32()), ("sig", pa.list_(pa.int64()))])
+
+
 def _prefixes(size: int, bits: int, table, load: float, percent: int) -> Callable:
-    """(k, node, n, asked, place) of the shingles of every set's prefix that another may have."""
-    kinds = (np.int64, np.int64, np.int32, np.int32, np.int32)
+    """Rows of _ROW: one without k for each text, with the size and node of its set, and one for each shingle of a set's prefix that another set may have."""
 
-    def given(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), kinds)], names=["k", "node", "n", "asked", "place"])
+    def heads(batch: pa.RecordBatch, sets: list[np.ndarray], nodes: list) -> pa.RecordBatch:
+        none = pa.nulls(len(sets), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), none, none.cast(pa.int32()), none.cast(pa.int32()), pa.nulls(len(sets), _ROW.field("sig").type)], schema=_ROW)
+
+    def shared(out: list[tuple]) -> pa.RecordBatch:
+        nodes, lengths, keys, asked, places, signs = zip(*out)
+        many = [len(k) for k in keys]
+        each = lambda x: np.repeat(np.array(x, np.int64), many)
+        total = sum(many)
+        sign = pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNED // 64 * (total + 1), SIGNED // 64, dtype=np.int32)), pa.array(np.repeat(np.array(signs), many, axis=0).ravel()))
+        return pa.RecordBatch.from_arrays([pa.nulls(total, pa.int64()), pa.nulls(total, pa.int64()), pa.array(each(nodes)), pa.array(each(lengths)), pa.array(np.concatenate(keys)), pa.array(each(asked).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), sign], schema=_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, out, held = np.frombuffer(table.value, np.uint8), [], 0
-        for node, h in Shingles(size).sets(batches):
-            levels = every[_cells(h, bits)]
-            at, asked = prefix(h, levels, load, percent)
-            place = np.flatnonzero(levels[at] > 0)  # a cell with one shingle in all is that of one text
-            if len(place):
-                full = lambda x: np.full(len(place), x)  # noqa: B023, E731
-                out.append((h[at[place]].view(np.int64), full(node), full(len(h)), full(asked), place))
-                held += len(place)
-            if held >= 50_000:
-                yield given(out)
-                out, held = [], 0
-        if out:
-            yield given(out)
+        every, shingles = np.frombuffer(table.value, np.uint8), Shingles(size)
+        for batch in batches:
+            sets = [shingles(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            nodes = [_node(h) if len(h) else None for h in sets]
+            yield heads(batch, sets, nodes)
+            out = []
+            for h, node in zip(sets, nodes):
+                if node is None or not shingles.is_new(node):
+                    continue
+                cells = _cells(h, bits)
+                levels = every[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8) & 15
+                at, asked = prefix(h, levels, load, percent)
+                place = np.flatnonzero(levels[at] > 0)  # a cell with one shingle in all is that of one text
+                if len(place):
+                    out.append((node, len(h), h[at[place]].view(np.int64), asked, place, signature(h)))
+            if out:
+                yield shared(out)
 
     return run
 
 
 def _sets(size: int, wanted, bits: int) -> Callable:
-    """(node, h) of the sets whose node falls on a wanted bit."""
+    """(tk, node, h) of the sets of texts whose hash tk falls on a wanted bit; a text that this task has met lately is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, nodes, sets = np.frombuffer(wanted.value, np.uint8), [], []
-
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "h"])
-
-        for node, h in Shingles(size).sets(batches):
-            at = node & ((1 << bits) - 1)
-            if table[at >> 3] >> (at & 7) & 1:
-                nodes.append(node)
-                sets.append(h.view(np.int64))
-            if len(nodes) == 500:
-                yield given()
-                nodes, sets = [], []
-        if nodes:
-            yield given()
+        table, shingles = np.frombuffer(wanted.value, np.uint8), Shingles(size)
+        for batch in batches:
+            tk = batch.column("tk").to_numpy()
+            at = tk & ((1 << bits) - 1)
+            for i in np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1):
+                if shingles.is_new(int(tk[i])):
+                    h = shingles((batch.column("text")[i].as_py() or "").encode())
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(tk[i : i + 1]), pa.array([_node(h)]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], names=["tk", "node", "h"])
 
     return run
 
 
-def _bit_table(nodes: DataFrame, bits: int) -> bytes:
-    """A bit for each low part of the nodes that occurs: 2 ** bits bits, from rows of 4096 bytes."""
-    at = F.col("node").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def whole_sets(rows: DataFrame, hashes: DataFrame, size: int, bits: int = 24) -> DataFrame:
+    """(tk, node, h) of the texts of rows (tk, text) whose tk is in hashes (h), and perhaps of some others: the sets' nodes and shingles. Copies of a text may come again."""
+    wanted = rows.sparkSession.sparkContext.broadcast(_bit_table(hashes, bits))
+    return rows.select("tk", "text").mapInArrow(_sets(size, wanted, bits), "tk long, node long, h array<long>")
+
+
+def _bit_table(hashes: DataFrame, bits: int) -> bytes:
+    """A bit for each low part of the column h that occurs: 2 ** bits bits, from rows of 4096 bytes."""
+    at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
     table = np.zeros((1 << bits) // 8, np.uint8)
-    made = nodes.select(at.alias("at")).groupBy(F.shiftright("at", 15).cast("long").alias("b")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    made = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 15).cast("long").alias("b")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
     for r in made.toLocalIterator():
         table[r["b"] * 4096 : (r["b"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     return table.tobytes()
@@ -201,55 +218,32 @@ def _reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return shared.cast("long") * (100 + percent) >= (a + b).cast("long") * percent
 
 
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of (a, na, la, pa, b, nb, lb, pb), a row for each shared shingle of two prefixes: those that share as many as asked and may reach the threshold after their first shared one."""
+def _likely(met: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b) of the pairs that share as many shingles as asked and may reach the threshold after their first shared one. met: a row for each shingle that two prefixes share.
+
+    If those aren't whole, pairs that share fewer are let through too, if they are small enough for unlike ones to differ in their signatures.
+    """
+    x, y = F.col("about_a"), F.col("about_b")
+    apart = sum((F.bit_count(F.get(x["sig"], F.lit(i)).bitwiseXOR(F.get(y["sig"], F.lit(i)))) for i in range(1, SIGNED // 64)), F.bit_count(F.get(x["sig"], F.lit(0)).bitwiseXOR(F.get(y["sig"], F.lit(0)))))
+    # sets within the threshold share at least percent / (100 + percent) of both sizes together, and differ in what both don't share
+    alike = apart.cast("long") * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)
+    each = met.where((F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (F.col("a") != F.col("b")) & alike)
     ordered = F.col("a") < F.col("b")
-    each = met.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") != F.col("b")))
-    left, right = (F.struct(*[F.col(f"{c}{x}").alias(c) for c in "nlp"]) for x in "ab")
-    each = each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(ordered, left).otherwise(right).alias("l"), F.when(ordered, right).otherwise(left).alias("r"))
-    found = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}{c}") for s in "lr" for c in "nlp"])
-    left_over = F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp"))
-    return found.where((F.col("shared") >= F.least("ll", "rl")) & _reaches(left_over, F.col("ln"), F.col("rn"), percent)).select("a", "b")
+    each = each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(ordered, x).otherwise(y).alias("l"), F.when(ordered, y).otherwise(x).alias("r"))
+    found = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("n", "asked", "place")])
+    left_over = F.least(F.col("l_n") - F.col("l_place"), F.col("r_n") - F.col("r_place"))
+    enough = (F.col("shared") >= F.least("l_asked", "r_asked")) & _reaches(left_over, F.col("l_n"), F.col("r_n"), percent)
+    return found.where(enough if whole else enough | (F.col("l_n") + F.col("r_n") <= 4 * SIGNED)).select("a", "b")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with linked: whether their whole sets are within the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
     counted = both.select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("shared"))
     return counted.select("a", "b", _reaches(F.col("shared"), F.col("na"), F.col("nb"), percent).alias("linked"))
 
 
-def _links(meets: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, stars: int) -> DataFrame:
-    """(node, root) of the nodes that have a link. meets: k, node, n, asked, place of shared shingles."""
-    spark = meets.sparkSession
-    tried = spark.createDataFrame([], "a long, b long, linked boolean")
-    roots = spark.createDataFrame([], "node long, root long")
-    said = lambda x: [F.col(c).alias(d + x) for c, d in (("n", "n"), ("asked", "l"), ("place", "p"))]
-    for turn in range(stars + 1):
-        labelled = meets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = labelled.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m"))
-        open_ = open_.groupBy("k").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("of"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        open_ = scratch.save(open_.select("k", "main", "most", "of"), f"open{turn}")
-        now = scratch.save(labelled.join(open_.select("k"), "k", "left_semi"), f"now{turn}")
-        effort = open_.agg(F.sum(F.col("of").cast("double") * (F.col("of") - F.col("most"))).alias("pairs"), F.sum("of").alias("rows")).first()
-        last = turn == stars or turn > 0 and effort["pairs"] <= 4 * effort["rows"] if effort["rows"] else True
-        if not last:
-            # a node of the round for each shingle, against which all others with it are held
-            pick = now.groupBy("k").agg(F.min_by(F.struct("node", "root", "n", "asked", "place"), F.xxhash64("node", F.lit(turn))).alias("p")).select("k", F.col("p.root").alias("main"), F.col("p.node").alias("b"), *[F.col(f"p.{c}").alias(d) for c, d in (("n", "nb"), ("asked", "lb"), ("place", "pb"))])
-            met = now.join(pick, "k").where("root <> main").select(F.col("node").alias("a"), *said("a"), "b", "nb", "lb", "pb")
-        else:
-            few = now.join(open_, "k").where("root <> main").select("k", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("main").alias("main"), *said("a"))
-            met = few.join(now.select("k", F.col("node").alias("b"), F.col("root").alias("rb"), *said("b")), "k").where("ra <> rb and (rb = main or a < b)")
-        pairs = _pairs(met, percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{turn}")
-        tried = scratch.save(tried.unionByName(_similar(pairs, sets, percent)), f"tried{turn}")
-        roots = connected_components(tried.where("linked").select("a", "b"), scratch, f"round{turn}-")
-        scratch.drop(f"open{turn}", f"now{turn}", f"pairs{turn}", f"tried{turn - 1}")
-        if last:
-            return roots
-
-
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_cells: int = 1 << 26, stars: int = 6) -> DataFrame:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_cells: int = 1 << 27, stars: int = 2) -> DataFrame:
     """(id, n_shingles, component_id) for every row: the size of its set of lower-cased word shingles and the smallest id that
     links of at least `percent` in Jaccard similarity reach.
 
@@ -260,28 +254,31 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = no_clash(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    named = scratch.save(rows.mapInArrow(_named(shingle), "id long, n_shingles long, node long"), "rows")
-    texts = rows.where(F.col("text") != "").select("text")
+    rows = rows.withColumn("tk", F.coalesce(F.xxhash64("text"), F.lit(0)))
 
-    total = named.groupBy("node").agg(F.max("n_shingles").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6  # about as many words
     bits = min(max(total.bit_length(), 20), max_cells.bit_length() - 1)
-    sums = texts.mapInArrow(_counted(shingle, bits), "block int, cells binary").repartition(64, "block").mapInArrow(_levels, "block int, levels binary")
-    table = np.zeros(1 << bits, np.uint8)
-    for r in scratch.save(sums, "levels").toLocalIterator():  # at most max_cells bytes, a block at a time
-        table[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["levels"], np.uint8)
+    sums = rows.select("text").mapInArrow(_counted(shingle, bits), "block int, cells binary").repartition(64, "block").mapInArrow(_levels, "block int, levels binary")
+    table = np.zeros((1 << bits) // 2, np.uint8)
+    for r in scratch.save(sums, "levels").toLocalIterator():  # at most max_cells / 2 bytes, a block at a time
+        table[r["block"] * _BLOCK // 2 : (r["block"] + 1) * _BLOCK // 2] = np.frombuffer(r["levels"], np.uint8)
     levels = spark.sparkContext.broadcast(table.tobytes())
     del table
 
-    prefixes = texts.mapInArrow(_prefixes(shingle, bits, levels, total / (1 << bits), percent), "k long, node long, n int, asked int, place int")
+    emitted = rows.mapInArrow(_prefixes(shingle, bits, levels, total / (1 << bits), percent), "id long, tk long, node long, n long, k long, asked int, place int, sig array<long>")
+    emitted = scratch.save(emitted, "emitted")
+    named = scratch.save(emitted.where("k is null").select("id", "tk", "node", F.col("n").alias("n_shingles")), "rows")
+    prefixes = emitted.where("k is not null").select("k", "node", "n", "asked", "place", "sig")
     shared = prefixes.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
     shared = scratch.save(shared, "shared")
-    meets = scratch.save(prefixes.join(shared, "k", "left_semi").distinct(), "meets")
-    nodes = meets.select("node").distinct()
-    wanted = spark.sparkContext.broadcast(_bit_table(nodes, 24))
-    sets = texts.mapInArrow(_sets(shingle, wanted, 24), "node long, h array<long>")
-    sets = scratch.save(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    roots = scratch.save(_links(meets, sets, scratch, percent, stars), "roots")
-    scratch.drop("levels", "shared", "meets", "sets")
+    meets = scratch.save(prefixes.join(shared, "k", "left_semi").dropDuplicates(["k", "node"]), "meets")
+    scratch.drop("levels", "emitted", "shared")
+    nodes = scratch.save(named.join(meets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("tk").alias("h")), "nodes")
+    sets = whole_sets(rows, nodes, shingle).select("node", "h")
+    sets = scratch.save(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    roots = met_components(meets, lambda met, whole: _likely(met, percent, whole), lambda pairs: similar(pairs, sets, percent), scratch, stars)
+    roots = scratch.save(roots, "roots")
+    scratch.drop("meets", "nodes", "sets")
 
     placed = named.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
