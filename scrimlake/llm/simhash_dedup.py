@@ -7,9 +7,9 @@ match is verified on all 64 bits. A segment shared by more than `hot_bucket` fin
 its members enumerate balls around the other segment instead and are linked through shared centres,
 which finds the same components with a fixed number of rows for each member.
 
-That is whole for 3 bits, and copies of a five-word similarity of 0.8 differ in about ten. For a wider radius fingerprints
-therefore also meet by their texts' `sketch` least shingle hashes: each is held against the least fingerprint that has
-the shingle too, and linked if all 64 bits differ within the radius.
+That is whole for 3 bits, and copies of a five-word similarity of 0.8 differ in about ten, of which three is the standard deviation. For those,
+texts meet by their `sketch` least shingle hashes, are held together (see meeting) if their fingerprints differ in at most
+WIDE bits, and are linked if their whole sets of shingles are within the threshold.
 """
 
 from collections.abc import Iterator
@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 
 from scrimlake.llm.common import Scratch, ascii_lower, no_clash, words
 from scrimlake.llm.components import connected_components
+from scrimlake.llm.meeting import met_components
+from scrimlake.llm.ngram_join import similar, whole_sets
 
 RADIUS = 3
+#: The radius within which nearly all texts of similarity 0.8 lie.
+WIDE = 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -109,22 +113,11 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
     return pairs.unionByName(through.select(F.col("fp").alias("a"), F.col("m").alias("b")))
 
 
-def sketch_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between fingerprints (columns fp, s) and the least one that shares a hash of s, within the radius."""
-    meets = rows.select("fp", F.explode("s").alias("k")).distinct()
-    least = meets.groupBy("k").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("k", "b")
-    pairs = meets.join(least, "k").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius))
-    return pairs.select(F.col("fp").alias("a"), "b")
-
-
-def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256, radius: int = RADIUS, sketch: int = 0) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle, sketch), "rows")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle).drop("s"), "rows")
     nodes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    edges = hamming_links(nodes.select("fp"), scratch, hot_bucket)
-    if sketch:
-        edges = edges.unionByName(sketch_links(rows, radius))
-    edges = scratch.save(edges.distinct(), "edges")
+    edges = scratch.save(hamming_links(nodes.select("fp"), scratch, hot_bucket).distinct(), "edges")
     roots = connected_components(edges, scratch)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -143,14 +136,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components(docs, id_col, text_col, shingle, hot_bucket).select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, sketch: int = 0) -> DataFrame:
+def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, sketch: int, radius: int, percent: int) -> DataFrame:
+    """(id, tk, component_id): components of texts linked by whole similarity."""
+    scratch = Scratch(docs.sparkSession, "alike")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle, sketch), "rows")
+    meets = rows.groupBy("tk").agg(F.first("s").alias("s"), F.first("fp").alias("fp")).select(F.explode("s").alias("k"), F.col("tk").alias("node"), "fp")
+    shared = scratch.save(meets.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k"), "shared")
+    meets = scratch.save(meets.join(shared, "k", "left_semi"), "meets")
+
+    def likely(met: DataFrame, whole: bool) -> DataFrame:
+        near = (F.bit_count(F.col("about_a.fp").bitwiseXOR(F.col("about_b.fp"))) <= radius) & (F.col("a") != F.col("b"))
+        return met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    texts = no_clash(docs, text_col).select(F.xxhash64(f"`{text_col}`").alias("tk"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        scratch.drop("sets")
+        asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        found = whole_sets(texts, asked, shingle).select(F.col("tk").alias("node"), "h")
+        return similar(pairs, scratch.save(found.dropDuplicates(["node"]), "sets"), percent)
+
+    roots = met_components(meets, likely, verify, scratch)
+    placed = rows.select("id", "tk").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
+    placed = scratch.save(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    scratch.drop("rows", "shared", "meets", "sets")
+    return placed.join(least, "root").select("id", "tk", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketch: int = 0, radius: int = WIDE, percent: int = 80) -> DataFrame:
     """The rows of docs that name their component: one document of each near-duplicate group, the smallest id.
 
+    Without a sketch groups are those of near_duplicates(). With one, texts are linked that share one of so many least shingles, lie within the radius and are similar to `percent`.
     A row goes if its text's group has a smaller id. Rows that repeat the smallest id stay if their texts are in the group;
     of rows with one id and unlike texts each is judged by its own group; rows with a null id stay. Null, empty and
-    blank texts are one group. With a sketch, texts within the radius that share one of its shingles are linked too. Extra columns are carried; an empty table gives no rows.
+    blank texts are one group, with a sketch only if they are equal. Extra columns are carried; an empty table gives no rows.
     """
-    found = _components(docs, id_col, text_col, shingle, radius=radius, sketch=sketch)
+    found = _alike(docs, id_col, text_col, shingle, sketch, radius, percent) if sketch else _components(docs, id_col, text_col, shingle)
     gone = found.where(F.col("id") != F.col("component_id")).select("id", "tk").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("at"), F.xxhash64(f"`{text_col}`").alias("of"))
     return rows.join(gone, (F.col("at") == F.col("id")) & (F.col("of") == F.col("tk")), "left_anti").select("row.*")

@@ -194,7 +194,7 @@ def test_keep_one_finds_near_copies(spark):
         texts += [w, copy]
         near += len(grams(w) & grams(copy)) >= 0.8 * len(grams(w) | grams(copy))
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    kept = {x["doc_id"] for x in simhash_dedup.keep_one(docs, shingle=5, radius=10, sketch=8).collect()}
+    kept = {x["doc_id"] for x in simhash_dedup.keep_one(docs, shingle=5, sketch=8).collect()}
     assert kept >= set(range(0, 120, 2)) and near > 50 and 120 - len(kept) >= 0.9 * near
 
 
