@@ -144,19 +144,19 @@ _ROW = pa.schema([("id", pa.int64()), ("tk", pa.int64()), ("node", pa.int64()),
 
 
 def _prefixes(size: int, bits: int, table, load: float, percent: int) -> Callable:
-    """Rows of _ROW: one without k for each text, with the size and node of its set, and one for each shingle of a set's prefix that another set may have."""
+    """Rows of _ROW: one without k for each text, with the size, node and signature of its set, and one for each shingle of a set's prefix that another set may have."""
 
     def heads(batch: pa.RecordBatch, sets: list[np.ndarray], nodes: list) -> pa.RecordBatch:
         none = pa.nulls(len(sets), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), none, none.cast(pa.int32()), none.cast(pa.int32()), pa.nulls(len(sets), _ROW.field("sig").type)], schema=_ROW)
+        signs = pa.array([signature(h) if len(h) else None for h in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), pa.array(nodes, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), none, none.cast(pa.int32()), none.cast(pa.int32()), signs], schema=_ROW)
 
     def shared(out: list[tuple]) -> pa.RecordBatch:
-        nodes, lengths, keys, asked, places, signs = zip(*out)
+        nodes, lengths, keys, asked, places = zip(*out)
         many = [len(k) for k in keys]
         each = lambda x: np.repeat(np.array(x, np.int64), many)
-        total = sum(many)
-        sign = pa.ListArray.from_arrays(pa.array(np.arange(0, SIGNED // 64 * (total + 1), SIGNED // 64, dtype=np.int32)), pa.array(np.repeat(np.array(signs), many, axis=0).ravel()))
-        return pa.RecordBatch.from_arrays([pa.nulls(total, pa.int64()), pa.nulls(total, pa.int64()), pa.array(each(nodes)), pa.array(each(lengths)), pa.array(np.concatenate(keys)), pa.array(each(asked).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), sign], schema=_ROW)
+        none = pa.nulls(sum(many), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(each(nodes)), pa.array(each(lengths)), pa.array(np.concatenate(keys)), pa.array(each(asked).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)), pa.nulls(sum(many), _ROW.field("sig").type)], schema=_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, shingles = np.frombuffer(table.value, np.uint8), Shingles(size)
@@ -173,7 +173,7 @@ def _prefixes(size: int, bits: int, table, load: float, percent: int) -> Callabl
                 at, asked = prefix(h, levels, load, percent)
                 place = np.flatnonzero(levels[at] > 0)  # a cell with one shingle in all is that of one text
                 if len(place):
-                    out.append((node, len(h), h[at[place]].view(np.int64), asked, place, signature(h)))
+                    out.append((node, len(h), h[at[place]].view(np.int64), asked, place))
             if out:
                 yield shared(out)
 
@@ -267,18 +267,21 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     emitted = rows.mapInArrow(_prefixes(shingle, bits, levels, total / (1 << bits), percent), "id long, tk long, node long, n long, k long, asked int, place int, sig array<long>")
     emitted = scratch.save(emitted, "emitted")
-    named = scratch.save(emitted.where("k is null").select("id", "tk", "node", F.col("n").alias("n_shingles")), "rows")
-    prefixes = emitted.where("k is not null").select("k", "node", "n", "asked", "place", "sig")
+    named = scratch.save(emitted.where("k is null").select("id", "tk", "node", F.col("n").alias("n_shingles"), "sig"), "rows")
+    prefixes = emitted.where("k is not null").select("k", "node", "n", "asked", "place")
     shared = prefixes.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k")
     shared = scratch.save(shared, "shared")
-    meets = scratch.save(prefixes.join(shared, "k", "left_semi").dropDuplicates(["k", "node"]), "meets")
+    plain = scratch.save(prefixes.join(shared, "k", "left_semi").dropDuplicates(["k", "node"]), "plain")
     scratch.drop("levels", "emitted", "shared")
-    nodes = scratch.save(named.join(meets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("tk").alias("h")), "nodes")
+    nodes = named.join(plain.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("tk").alias("h"), F.first("sig").alias("sig"))
+    nodes = scratch.save(nodes, "nodes")
+    meets = scratch.save(plain.join(nodes.select("node", "sig"), "node"), "meets")
+    named = named.drop("sig")
     sets = whole_sets(rows, nodes, shingle).select("node", "h")
     sets = scratch.save(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     roots = met_components(meets, lambda met, whole: _likely(met, percent, whole), lambda pairs: similar(pairs, sets, percent), scratch, stars)
     roots = scratch.save(roots, "roots")
-    scratch.drop("meets", "nodes", "sets")
+    scratch.drop("plain", "meets", "nodes", "sets")
 
     placed = named.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
