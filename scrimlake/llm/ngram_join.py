@@ -218,16 +218,21 @@ def _reaches(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return shared.cast("long") * (100 + percent) >= (a + b).cast("long") * percent
 
 
+def may_reach(x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of sizes n and signatures sig may be within the threshold."""
+    apart = sum((F.bit_count(F.get(x["sig"], F.lit(i)).bitwiseXOR(F.get(y["sig"], F.lit(i)))) for i in range(1, SIGNED // 64)), F.bit_count(F.get(x["sig"], F.lit(0)).bitwiseXOR(F.get(y["sig"], F.lit(0)))))
+    # sets within the threshold share at least percent / (100 + percent) of both sizes together, and differ in what both don't share
+    alike = apart.cast("long") * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)
+    return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & alike
+
+
 def _likely(met: DataFrame, percent: int, whole: bool) -> DataFrame:
     """(a, b) of the pairs that share as many shingles as asked and may reach the threshold after their first shared one. met: a row for each shingle that two prefixes share.
 
     If those aren't whole, pairs that share fewer are let through too, if they are small enough for unlike ones to differ in their signatures.
     """
     x, y = F.col("about_a"), F.col("about_b")
-    apart = sum((F.bit_count(F.get(x["sig"], F.lit(i)).bitwiseXOR(F.get(y["sig"], F.lit(i)))) for i in range(1, SIGNED // 64)), F.bit_count(F.get(x["sig"], F.lit(0)).bitwiseXOR(F.get(y["sig"], F.lit(0)))))
-    # sets within the threshold share at least percent / (100 + percent) of both sizes together, and differ in what both don't share
-    alike = apart.cast("long") * (100 + percent) <= (x["n"] + y["n"]) * (100 - percent)
-    each = met.where((F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (F.col("a") != F.col("b")) & alike)
+    each = met.where((F.col("a") != F.col("b")) & may_reach(x, y, percent))
     ordered = F.col("a") < F.col("b")
     each = each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(ordered, x).otherwise(y).alias("l"), F.when(ordered, y).otherwise(x).alias("r"))
     found = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.min(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("n", "asked", "place")])

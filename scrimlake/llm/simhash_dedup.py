@@ -7,12 +7,13 @@ match is verified on all 64 bits. A segment shared by more than `hot_bucket` fin
 its members enumerate balls around the other segment instead and are linked through shared centres,
 which finds the same components with a fixed number of rows for each member.
 
-That is whole for 3 bits, and copies of a five-word similarity of 0.8 differ in about ten, of which three is the standard deviation. For those,
-texts meet by their `sketch` least shingle hashes, are held together (see meeting) if their fingerprints differ in at most
-WIDE bits, and are linked if their whole sets of shingles are within the threshold.
+That is whole for 3 bits, and copies of a five-word similarity of 0.8 differ in about ten, of which three is the standard deviation. Those
+are found beside it: texts that the fingerprints don't link yet also meet by their `sketch` least shingle hashes, are held together (see
+meeting) if their fingerprints differ in at most WIDE bits and their sizes and signatures (see ngram_join) allow it, and are linked
+if their whole sets of shingles are within the threshold.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from scrimlake.llm.common import Scratch, ascii_lower, no_clash, words
 from scrimlake.llm.components import connected_components
 from scrimlake.llm.meeting import met_components
-from scrimlake.llm.ngram_join import similar, whole_sets
+from scrimlake.llm.ngram_join import may_reach, signature, similar, whole_sets
 
 RADIUS = 3
 #: The radius within which nearly all texts of similarity 0.8 lie.
@@ -58,21 +59,29 @@ def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("h")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tk"), batch.column("s"), pa.array(majority_bits(flat, lengths).view(np.int64))], names=["id", "tk", "s", "fp"])
+def _fingerprint_batches(sketch: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("h")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            columns = [batch.column("id"), batch.column("tk"), pa.array(majority_bits(flat, lengths).view(np.int64))]
+            if sketch:
+                ends = np.cumsum(lengths)
+                sets = [np.unique(flat[e - n : e].view(np.int64)) for e, n in zip(ends, lengths)]
+                columns += [pa.array([h[:sketch] for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64()), pa.array([signature(h.view(np.uint64)) for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "tk", "fp", "s", "n", "sig"][: len(columns)])
+
+    return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketch: int = 0) -> DataFrame:
-    """(id, tk, s, fp): tk is a hash of the text, s the `sketch` least shingle hashes, null if that is 0, fp the SimHash of its lower-cased word shingles as a signed long; null or blank text gives 0."""
+    """(id, tk, fp): tk is a hash of the text, fp the SimHash of its lower-cased word shingles as a signed long; null or blank text gives 0.
+    With a sketch also s, the `sketch` least of its distinct shingle hashes, n, how many it has, and sig, their signature."""
     rows = no_clash(docs, id_col, text_col)
     w = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(f"`{text_col}`").alias("tk"), words(ascii_lower(F.col(f"`{text_col}`"))).alias("w"))
     h = w.select("id", "tk", shingle_hashes(F.col("w"), shingle).alias("h"))
-    least = F.slice(F.sort_array(F.array_distinct("h")), 1, sketch) if sketch else F.lit(None).cast("array<bigint>")
-    return h.select("id", "tk", "h", least.alias("s")).mapInArrow(_fingerprint_batches, "id long, tk long, s array<long>, fp long")
+    return h.mapInArrow(_fingerprint_batches(sketch), "id long, tk long, fp long" + (", s array<long>, n long, sig array<long>" if sketch else ""))
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -115,7 +124,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, hot_bucket: int = 256) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle).drop("s"), "rows")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, shingle), "rows")
     nodes = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     edges = scratch.save(hamming_links(nodes.select("fp"), scratch, hot_bucket).distinct(), "edges")
     roots = connected_components(edges, scratch)
@@ -136,17 +145,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components(docs, id_col, text_col, shingle, hot_bucket).select("id", "fp", "component_id")
 
 
+def _near_texts(texts: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> DataFrame:
+    """(a, b) for every text (columns tk, fp) that steps of at most 3 bits link to a text with a smaller tk: the least of those."""
+    edges = scratch.save(hamming_links(texts.select("fp").distinct(), scratch, hot_bucket).distinct(), "edges")
+    named = texts.select("tk", "fp").join(connected_components(edges, scratch).withColumnRenamed("node", "fp"), "fp", "left")
+    named = scratch.save(named.select("tk", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("tk").alias("b"), F.max("tk").alias("most")).where("b < most")
+    near = scratch.save(named.join(least, "root").where("tk <> b").select(F.col("tk").alias("a"), "b"), "near")
+    scratch.drop("edges", "hot", "named")
+    return near
+
+
 def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, sketch: int, radius: int, percent: int) -> DataFrame:
-    """(id, tk, component_id): components of texts linked by whole similarity."""
+    """(id, tk, component_id): components of texts linked by fingerprints within 3 bits or by whole similarity."""
     scratch = Scratch(docs.sparkSession, "alike")
     rows = scratch.save(fingerprints(docs, id_col, text_col, shingle, sketch), "rows")
-    meets = rows.groupBy("tk").agg(F.first("s").alias("s"), F.first("fp").alias("fp")).select(F.explode("s").alias("k"), F.col("tk").alias("node"), "fp")
-    shared = scratch.save(meets.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("k"), "shared")
+    known = rows.groupBy("tk").agg(*[F.first(c).alias(c) for c in ("fp", "s", "n", "sig")])
+    near = _near_texts(rows.select("tk", "fp").distinct(), scratch)
+    meets = known.select(F.explode("s").alias("k"), F.col("tk").alias("node"), "fp", "n", "sig")
+    shared = scratch.save(rows.select(F.explode("s").alias("k"), "tk").groupBy("k").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo < hi").select("k"), "shared")
     meets = scratch.save(meets.join(shared, "k", "left_semi"), "meets")
 
     def likely(met: DataFrame, whole: bool) -> DataFrame:
-        near = (F.bit_count(F.col("about_a.fp").bitwiseXOR(F.col("about_b.fp"))) <= radius) & (F.col("a") != F.col("b"))
-        return met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x, y = F.col("about_a"), F.col("about_b")
+        allowed = (F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius) & may_reach(x, y, percent) & (F.col("a") != F.col("b"))
+        return met.where(allowed).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     texts = no_clash(docs, text_col).select(F.xxhash64(f"`{text_col}`").alias("tk"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -156,21 +179,21 @@ def _alike(docs: DataFrame, id_col: str, text_col: str, shingle: int, sketch: in
         found = whole_sets(texts, asked, shingle).select(F.col("tk").alias("node"), "h")
         return similar(pairs, scratch.save(found.dropDuplicates(["node"]), "sets"), percent)
 
-    roots = met_components(meets, likely, verify, scratch)
+    roots = met_components(meets, likely, verify, scratch, linked=near)
     placed = rows.select("id", "tk").join(roots.withColumnRenamed("node", "tk"), "tk", "left").withColumn("root", F.coalesce("root", "tk"))
     placed = scratch.save(placed, "placed")
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    scratch.drop("rows", "shared", "meets", "sets")
+    scratch.drop("rows", "near", "shared", "meets", "sets")
     return placed.join(least, "root").select("id", "tk", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketch: int = 0, radius: int = WIDE, percent: int = 80) -> DataFrame:
     """The rows of docs that name their component: one document of each near-duplicate group, the smallest id.
 
-    Without a sketch groups are those of near_duplicates(). With one, texts are linked that share one of so many least shingles, lie within the radius and are similar to `percent`.
+    Without a sketch groups are those of near_duplicates(). With one, also texts are linked that share one of so many least shingles, lie within the radius and are similar to `percent`.
     A row goes if its text's group has a smaller id. Rows that repeat the smallest id stay if their texts are in the group;
     of rows with one id and unlike texts each is judged by its own group; rows with a null id stay. Null, empty and
-    blank texts are one group, with a sketch only if they are equal. Extra columns are carried; an empty table gives no rows.
+    blank texts are one group. Extra columns are carried; an empty table gives no rows.
     """
     found = _alike(docs, id_col, text_col, shingle, sketch, radius, percent) if sketch else _components(docs, id_col, text_col, shingle)
     gone = found.where(F.col("id") != F.col("component_id")).select("id", "tk").distinct()

@@ -250,3 +250,18 @@ def test_near_copies_just_over_the_threshold_go(spark):
     kept = {x["doc_id"] for x in simhash_dedup.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, sketch=8).collect()}
     assert sum(k not in kept for k in over) >= 0.97 * len(over)
     assert kept >= set(under) and kept >= set(range(0, len(docs), 2))
+
+
+def test_near_fingerprints_are_one_group(spark):
+    """The pipeline's near-dedup links all that fingerprints within 3 bits link, also texts whose least shingles differ."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghilmnorstu") for _ in range(r.randint(2, 9)))
+    docs = []
+    for k in range(40):
+        often = " ".join(word() for _ in range(40))
+        docs += [(2 * k + i, " ".join([*[often] * 40, *[word() for _ in range(120)]])) for i in (0, 1)]
+    docs = spark.createDataFrame([*docs, (900, None), (901, " "), (902, "")], "doc_id long, text string")
+    near = {x["id"] for x in simhash_dedup.near_duplicates(docs, shingle=5).where("id <> component_id").collect()}
+    assert len(near) > 10 and near >= {901, 902}
+    kept = {x["doc_id"] for x in simhash_dedup.keep_one(docs, shingle=5, sketch=8).collect()}
+    assert not near & kept and kept >= set(range(0, 80, 2)) | {900}
