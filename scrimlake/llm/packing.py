@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from scrimlake.llm.common import Scratch
 
 _KNOWN_UNITS = 1_600_000
+#: So many new runs are encoded as one text.
+_AT_ONCE = 50
 _CUT = re.compile(r"(?<=\S) ")
+_GAPS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -69,24 +72,40 @@ def plan(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int]
 class UnitIds(dict):
     """Token ids, as little-endian bytes, of the runs of text that follow a space, and in heads of those that begin a
     text. The tokenizer's pre-tokens never reach over a space that follows a character other than white space, so
-    texts can be encoded run by run; runs seen are remembered."""
+    texts can be encoded run by run; runs seen are remembered. New runs are encoded many at a time, as one text, which is cut
+    where tokens begin with a space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.heads = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def learn(self, texts: list[list[str]]) -> None:
         """Makes sure that all runs of these texts are known."""
-        new = set().union(*texts) - self.keys()
+        new = {u for us in texts for u in us if u not in self}
         if len(self) + len(new) + len(self.heads) > _KNOWN_UNITS:
             self.clear()
             self.heads.clear()
-            new = set().union(*texts)
-        heads = {us[0] for us in texts if us} - self.heads.keys()
-        for known, runs, before in ((self, list(new), " "), (self.heads, list(heads), "")):
-            for run, coded in zip(runs, self.tokenizer.encode_batch([before + r for r in runs], add_special_tokens=False)):
-                known[run] = np.array(coded.ids, "<u4").tobytes()
+            new = {u for us in texts for u in us}
+        plain = [u for u in new if u and " " not in u and not u[-1].isspace()]
+        for at in range(0, len(plain), _AT_ONCE):
+            self._joined(plain[at : at + _AT_ONCE])
+        self._each(self, [u for u in new if u not in self], " ")
+        self._each(self.heads, list({us[0] for us in texts if us and us[0] not in self.heads}), "")
+
+    def _joined(self, runs: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) == len(runs) and starts[0] == 0:  # else they are encoded one by one
+            coded, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.update(zip(runs, map(coded.__getitem__, map(slice, ends, ends[1:]))))
+
+    def _each(self, known: dict, runs: list[str], before: str) -> None:
+        for run, coded in zip(runs, self.tokenizer.encode_batch([before + r for r in runs], add_special_tokens=False)):
+            known[run] = np.array(coded.ids, "<u4").tobytes()
 
     def ids(self, units: list[str]) -> bytes:
         return self.heads[units[0]] + b"".join(map(self.__getitem__, units[1:])) if units else b""
@@ -101,7 +120,9 @@ def _units_of(path: str) -> UnitIds:
 
 def units(text: str) -> list[str]:
     """The text cut at each space that follows a character other than white space; joined by spaces they are the text."""
-    return _CUT.split(text) if text else []
+    if not text:
+        return []
+    return _CUT.split(text) if text[0] == " " or any(map(text.__contains__, _GAPS)) else text.split(" ")
 
 
 def _pieces(path: str, capacity: int, end: int) -> Callable:

@@ -348,6 +348,29 @@ def test_packing(docs):
         assert at <= 256
 
 
+def test_new_runs_are_encoded_together():
+    """The ids are those of whole texts, and many new runs are one text for the tokenizer."""
+    r = random.Random(9)
+    odd = ["a ", "b", "  ", " ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "<|endoftext|>", "'s", "12", "\u0120", "!", "é", "\u200b", "\x00"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts += [" ".join(f"run{r.randrange(10**6)}" for _ in range(100)) for _ in range(20)]
+    known, texts_met = packing.UnitIds(BPE), []
+
+    class Counting:
+        def __getattr__(self, name, tokenizer=known.tokenizer):
+            return lambda batch, **kw: (texts_met.extend(batch), getattr(tokenizer, name)(batch, **kw))[1]
+
+    plain, known.tokenizer = known.tokenizer, Counting()
+    cut = [packing.units(t) for t in texts]
+    assert [" ".join(us) for us in cut] == texts
+    known.learn(cut[:1500])
+    del texts_met[:]
+    known.learn(cut[1500:])
+    assert len(texts_met) < 200
+    for t, us in zip(texts, cut):
+        assert known.ids(us) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_closest_fill_is_the_best_sum():
     r = random.Random(2)
     for _ in range(200):
