@@ -231,6 +231,39 @@ def test_line_dedup(spark):
     assert out[0]["text"].endswith("short one") and all(out[k]["removed_lines"][-1] == 2 for k in (1, 2, 3))  # equal short lines are grouped too
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edits_and_starts_by_all_pairs(spark):
+    """Edits are at least the distance and none are found only if it is too high; starts never rule out a pair within the bound."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 6)))
+    rows = [("is ntes thwhesnd esator whshing and hewh", "shou of aned thwhesnd esator whshing and hewh"), ("some words that stay here", "some words that we stay here"), ("a b c d e", "b c d e"), ("one two", "one two three")]
+    for _ in range(400):
+        x = [word() for _ in range(r.randint(5, 14))]
+        y = list(x)
+        for _ in range(r.randint(1, 5)):
+            k = r.randrange(len(y))
+            y[k : k + r.randint(0, 2)] = [word() for _ in range(r.randint(0, 2))]
+        y = [*y, word()] if len(y) < 2 else y
+        rows.append((" ".join(x), " ".join(y)))
+    rows = [(2 * k, 2 * k + 1, x, y, int(0.2 * max(len(x), len(y)) + 1e-9)) for k, (x, y) in enumerate(rows) if x != y]
+    true = {a: distance(x, y) for a, _, x, y, _ in rows}
+    pairs = spark.createDataFrame(rows, "a long, b long, x string, y string, most int")
+    found = {f["a"]: f["edits"] for f in line_dedup.edits(pairs, "x", "y").collect()}
+    for a, _, _, _, most in rows:
+        assert true[a] <= found[a] <= most if true[a] <= most else found[a] == -1, a
+    texts = spark.createDataFrame([t for a, b, x, y, _ in rows for t in ((a, x), (b, y))], "key long, norm string")
+    left = {p["a"] for p in line_dedup.starts_allow(pairs, texts, 0.8).collect()}
+    assert left >= {a for a, _, _, _, most in rows if true[a] <= most} and len(left) < len(rows)
+
+
 def all_pairs_root(lines, threshold=0.8):
     """Groups by the definition alone: lines of edit similarity of at least the threshold, and what they are linked to."""
     root = list(range(len(lines)))
