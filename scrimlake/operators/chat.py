@@ -43,6 +43,6 @@ def entity_intent(text: Column, start: Column, end: Column) -> Column:
     """(is_question, confidence) of the use of an entity: by the whole text, then by what stands around it."""
     whole = T.is_question(text)
     near = F.substring(text, F.greatest(start - AROUND, F.lit(0)) + 1, end - F.greatest(start - AROUND, F.lit(0)) + AROUND)
-    seen = lambda patterns: near.rlike("(?i)" + "|".join(patterns))
+    seen = lambda patterns: near.rlike(T.any_case("|".join(patterns)))
     sure = whole["is_question"] & (whole["confidence"] > 0.8)
     return F.struct((sure | seen(ASKED)).alias("is_question"), F.when(sure, 0.95).when(seen(ASKED), 0.85).when(seen(STATED), 0.9).otherwise(0.5).alias("confidence"))

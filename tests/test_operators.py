@@ -36,6 +36,25 @@ def test_query_gives_its_sql_rows(spark, name):
     assert sorted(df.columns) == sorted(columns) and rows(df.columns, df.collect()) == rows(columns, rel.fetchall())
 
 
+@pytest.mark.parametrize("name", ["anonymize_exempting", "anonymize_exemptions", "question_intent", "entity_intent_context", "intent_replaced_entities"])
+def test_questions_are_those_of_the_sql(spark, tmp_path, name):
+    """Words that end before a letter with an accent, letters that are like ASCII ones in any case, wide spaces, white space and line ends at the edges."""
+    texts = ["Do\u00f1ez los.", "Is\u00e9 ta", "Does it", "Doesx it", "Wha\u0442 it", "\u3000Can it", "Ca\u0301n it", "\x0bCan it", "\x0cCan it", "so?\u00a0", "so?\u3000", "a \u212anown", "de\u017fcribe it", "Wa\u017f it", "I\u017f it", "I\u017f\u017f it", "Who_ it", "do you \u212anow", "plain", ""]
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        if t in ("customer", "nation"):
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    roles = [("system", "user", "assistant")[k % 3] for k in range(3)]
+    rows = spark.createDataFrame([(k, j, r, t) for k, t in enumerate(texts) for j, r in enumerate(roles)], "conv_id long, turn int, role string, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db.execute(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = db.execute(catalog.ORACLES[name])
+    columns = sorted(d[0] for d in rel.description)
+    expected = sorted(map(repr, rel.fetchdf()[columns].astype(str).values.tolist()))
+    assert sorted(map(repr, catalog.QUERIES[name](spark, str(tmp_path)).toPandas()[columns].astype(str).values.tolist())) == expected
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     rows = catalog.QUERIES[name](spark, SF)
