@@ -106,7 +106,8 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
     table = seg.select(key(F.col("own")), "fp")
     asks = seg.select(F.col("seg"), "fp", F.explode(F.concat(F.array("own"), _flips(F.col("own"), upward=True))).alias("ask"), "own").select(key(F.col("ask")), F.col("fp").alias("q"), (F.col("ask") != F.col("own")).alias("flip"))
     hot = scratch.save(table.groupBy("k").count().where(F.col("count") > hot_bucket).select("k"), "hot")
-    near = asks.join(hot, "k", "left_anti").join(table, "k")
+    # exploded tables have many times the size that Spark reckons with, so none of them may be broadcast
+    near = asks.join(hot, "k", "left_anti").join(table.hint("merge"), "k")
     near = near.where(F.when(F.col("flip"), F.col("q") != F.col("fp")).otherwise(F.col("q") < F.col("fp")))
     pairs = near.where(F.bit_count(F.col("q").bitwiseXOR(F.col("fp"))) <= RADIUS).select(F.col("q").alias("a"), F.col("fp").alias("b"))
 
@@ -118,7 +119,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, hot_bucket: int = 256) -> Da
     least = ones.groupBy("k", "c").agg(F.min("fp").alias("m"))  # those within 1 of a centre are within 2 of each other
     asked = asks.where("flip").join(hot, "k", "left_semi").select("k", F.col("q").alias("fp"), other(F.col("q")).alias("o"))
     reach = ones.unionByName(members.select("k", "fp", F.explode(ball2).alias("c"))).unionByName(asked.select("k", "fp", F.explode(ball1).alias("c")))
-    through = reach.join(least, ["k", "c"]).where(F.col("fp") != F.col("m")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= RADIUS)
+    through = reach.join(least.hint("merge"), ["k", "c"]).where(F.col("fp") != F.col("m")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m"))) <= RADIUS)
     return pairs.unionByName(through.select(F.col("fp").alias("a"), F.col("m").alias("b")))
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrimlake.llm import decontamination, html_extraction, license_scan, line_dedup, packing, quality_rules, simhash_dedup, substring_dedup, token_counts, warc_zip
@@ -154,6 +156,17 @@ def test_sketch_packing():
     assert (substring_dedup._unpack(substring_dedup._pack(cells)) == cells).all()
 
 
+def test_simhash_broadcasts_no_exploded_table(spark):
+    """Of 2,000 fingerprints Spark takes the balls around all segments, 34 rows for each, for small enough to broadcast."""
+    scratch = Scratch(spark, "test")
+    fps = scratch.save(spark.range(2000).select(F.xxhash64("id").alias("fp")), "fps")
+    plan = simhash_dedup.hamming_links(fps, scratch)._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    held = [k for k, line in enumerate(plan) if "BroadcastExchange" in line]
+    below = lambda k: itertools.takewhile(lambda line: depth(line) > depth(plan[k]), plan[k + 1 :])
+    assert any("Generate" in line for line in plan) and not any("Generate" in line for k in held for line in below(k))
+
+
 def test_simhash_components(docs):
     def fingerprint(text):
         ws = words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
