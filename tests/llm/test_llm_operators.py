@@ -156,6 +156,19 @@ def test_sketch_packing():
     assert (substring_dedup._unpack(substring_dedup._pack(cells)) == cells).all()
 
 
+def test_a_phrase_that_many_unlike_lines_hold_is_left_to_their_other_runs(spark, monkeypatch):
+    """The phrase's words have the least hashes, so that its run is the first of all lines."""
+    r, met = random.Random(7), []
+    vocabulary = sorted({"".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(3000)}, key=lambda w: xxhash.xxh64_intdigest(w, 42) & ~(1 << 63))
+    phrase, rest = vocabulary[:3], vocabulary[3:]
+    lines = [r.sample(rest, 20) + phrase + r.sample(rest, 20) for _ in range(200)]
+    lines += [[r.choice(rest) if k in (2, 17, 30, 38) else w for k, w in enumerate(line)] for line in lines[:20]]
+    likely = line_dedup._likely
+    monkeypatch.setattr(line_dedup, "_likely", lambda pairs, *more: met.append(pairs.count()) or likely(pairs, *more))
+    found = {g["id"]: g["root"] for g in line_dedup.line_groups(spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string"), Scratch(spark, "test")).collect()}
+    assert all(found[k] == found[200 + k] for k in range(20)) and len(set(found.values())) == 200 and met[-1] < 2000
+
+
 def test_simhash_broadcasts_no_exploded_table(spark):
     """Of 2,000 fingerprints Spark takes the balls around all segments, 34 rows for each, for small enough to broadcast."""
     scratch = Scratch(spark, "test")
